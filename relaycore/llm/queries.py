@@ -2,20 +2,30 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, toxicity
-from .tables import read
+from . import decontamination, line_quality, packing, toxicity
+from .tables import read, vocabulary
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_quality": op2_line_quality,
+    "op5_packing": op5_packing,
     "op3_decontamination": op3_decontamination,
 }
 ORACLE_SQL = {}

@@ -26,3 +26,10 @@ def bucket_count(spark: SparkSession, factor: int = 4, least: int = 16) -> int:
 
 def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
