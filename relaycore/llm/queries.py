@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_quality, packing, toxicity
+from . import decontamination, line_quality, ngram_join, packing, suffix_dedup, toxicity
 from .tables import read, vocabulary
 
 
@@ -22,10 +22,20 @@ def op5_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer or vocabulary("byte_bpe_50k.json"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
     "op5_packing": op5_packing,
+    "op8_ngram_join": op8_ngram_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op3_decontamination": op3_decontamination,
 }
 ORACLE_SQL = {}
