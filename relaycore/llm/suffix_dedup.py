@@ -272,7 +272,7 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
                 held = known.get(snippet)
                 if held is None or held > place:
                     known[snippet], place = place, held
-                if place != known[snippet]:
+                if place is not None and place != known[snippet]:
                     cuts.add(place[:2], place[2], place[2] + size)
         block, size = [], 0
         several = [known for known in places.values() if len(known) > 1]
