@@ -39,8 +39,8 @@ U64 = np.uint64
 GRAM = 32
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Snippet bytes a task holds before it packs, and bytes sorted at once.
-HELD_BYTES = 32 << 20
-SORTED_BYTES = 2 << 20
+HELD_BYTES = 12 << 20
+SORTED_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 _SEPARATOR = 0xFF  # in no UTF-8 text
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("size", "<u4")])
@@ -293,9 +293,16 @@ def _cut_block(block, length, cuts):
     """Marks the repeated windows of a block of (snippet, place)."""
     ranks = {doc: rank for rank, doc in enumerate(sorted({place[:2] for _, place in block}))}
     owners = np.array([(ranks[place[:2]], place[2]) for _, place in block], np.int64)
-    for which, offset in zip(*(x.tolist() for x in repeated_windows([s for s, _ in block], owners, length))):
-        doc, text, start = block[which][1]
-        cuts.add((doc, text), start + offset, start + offset + length)
+    which, offset = repeated_windows([s for s, _ in block], owners, length)
+    if not len(which):
+        return
+    order = np.lexsort((offset, which))
+    which, offset = which[order], offset[order]
+    breaks = np.flatnonzero((which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)) + 1
+    first, last = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(which)]]) - 1
+    for k, lo, hi in zip(which[first].tolist(), offset[first].tolist(), offset[last].tolist()):
+        doc, text, start = block[k][1]
+        cuts.add((doc, text), start + lo, start + hi + length)
 
 
 def with_cuts(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
