@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
+from .tables import share
 
 
 class SuffixAutomaton:
@@ -163,11 +164,11 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
 
 
 def _one_pass(df, text, automaton, schema):
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+    shared = share(df.sparkSession, automaton)
     columns = schema.names
 
     def run(batches):
-        a = shared.value
+        a = shared()
         get = a.vocabulary.get
         for batch in batches:
             counts, hits, items = [], [], []

@@ -30,6 +30,18 @@ class RepeatSketch:
         self.bits, self.width, self.slots = bits, filters.shape[1] * 8, classes.shape[1]
         self.filters, self.classes = filters.reshape(-1), classes.reshape(-1)
 
+    @classmethod
+    def shared(cls, spark, sketch):
+        """A function that returns the broadcast sketch on an executor; its arrays are not copied."""
+        held = spark.sparkContext.broadcast((sketch.bits, sketch.width, sketch.slots, sketch.filters, sketch.classes))
+
+        def get():
+            out = cls.__new__(cls)
+            out.bits, out.width, out.slots, out.filters, out.classes = held.value
+            return out
+
+        return get
+
     def repeated(self, hashes):
         """False only for hashes that the corpus holds once."""
         out = None

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .exchange import by_bucket, repeat_sketch
+from .exchange import RepeatSketch, by_bucket, repeat_sketch
 from .tables import bucket_count, cut
 
 U64 = np.uint64
@@ -40,7 +40,7 @@ GRAM = 32
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Snippet bytes a task holds before it packs, and bytes sorted at once.
 HELD_BYTES = 12 << 20
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
 _SEPARATOR = 0xFF  # in no UTF-8 text
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("size", "<u4")])
@@ -83,7 +83,8 @@ def anchors(arr, length):
     after = np.concatenate([[0], np.where(run[1:] == run[:-1], chosen[:-1] + 1, 0)])
     first, last = np.maximum(starts[run], after), np.minimum(ends[run], chosen)
     some = first <= last
-    return values[some], first[some], last[some]
+    # Least hashes crowd near zero: mixed again, they spread evenly over the hash ranges.
+    return tb.mix(values[some] + _STEP), first[some], last[some]
 
 
 def two_stage_suffix_array(text, depth):
@@ -117,11 +118,9 @@ def two_stage_suffix_array(text, depth):
         if len(before):
             symbols = text[before]
             order = np.argsort(symbols, kind="stable")
-            cuts = np.searchsorted(symbols[order], np.arange(c + 1, 257))
-            for symbol in range(c + 1, 256):
-                lo, hi = cuts[symbol - c - 1], cuts[symbol - c]
-                if lo < hi:
-                    induced[symbol].append(before[order[lo:hi]])
+            met, starts = np.unique(symbols[order], return_index=True)
+            for symbol, places in zip(met.tolist(), np.split(before[order], starts[1:])):
+                induced[symbol].append(places)
     return np.concatenate(out)
 
 
@@ -215,7 +214,7 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
             if data is not None and len(data) >= length:
                 yield anchors(tb.as_array(data), length)[0]
 
-    sketch = docs.sparkSession.sparkContext.broadcast(repeat_sketch(chosen.select("body"), hashes))
+    sketch = RepeatSketch.shared(docs.sparkSession, repeat_sketch(chosen.select("body"), hashes))
 
     def send(batches):
         def pack(places, cuts):
@@ -234,12 +233,13 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
         places, cuts, size = {}, _Intervals(), 0
+        known = sketch()
         for batch in batches:
             for doc, key, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "key")), batch.column("body").cast(pa.binary()).to_pylist()):
                 if data is None or len(data) < length:
                     continue
                 values, first, last = anchors(tb.as_array(data), length)
-                some = np.flatnonzero(sketch.value.repeated(values))
+                some = np.flatnonzero(known.repeated(values))
                 for h, start, end in zip(values[some].tolist(), first[some].tolist(), (last[some] + length).tolist()):
                     snippet = data[start:end]
                     held = places.get(snippet)

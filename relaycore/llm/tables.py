@@ -1,7 +1,9 @@
 """Reading the input tables and cutting lineage in the shared folder."""
 
+import pickle
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -18,6 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def share(spark: SparkSession, value):
+    """A broadcast of any object, as a function that returns it on an executor.
+
+    Classes travel by value, so executors need no copy of the package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def bucket_count(spark: SparkSession, factor: int = 4, least: int = 16) -> int:
     """A power of two that follows the cluster's shuffle parallelism."""
     wanted = max(least, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .tables import crc_mod
+from .tables import crc_mod, share
 
 U64 = np.uint64
 _PAIR = U64(0xA24BAED4963EE407)
@@ -205,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
 def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity", carry: list[str] | None = None) -> DataFrame:
     """`docs` (or the columns `carry` of it) and a score column."""
     columns = [c for c in (docs.columns if carry is None else carry) if c != name]
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = share(docs.sparkSession, scorer)
 
     def run(batches):
-        score = shared.value.score
+        score = shared().score
         for batch in batches:
             scores = [score(t) for t in batch.column(text).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, name])
