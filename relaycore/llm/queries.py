@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_quality, ngram_join, packing, suffix_dedup, toxicity
+from . import decontamination, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, toxicity, url_filter
 from .tables import read, vocabulary
 
 
@@ -30,11 +30,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(read(spark, sf_dir, "pages"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(read(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
+    "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op7_license_scan": op7_license_scan,
     "op8_ngram_join": op8_ngram_join,
+    "op9_html_text": op9_html_text,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op3_decontamination": op3_decontamination,
 }
