@@ -59,13 +59,15 @@ def _lower(text: Column) -> Column:
 
 def phrase_places(words: Column, phrases=PHRASES) -> Column:
     """Structs (at, label) of every place where a phrase's words stand consecutively."""
-    found = []
-    for phrase, label in phrases:
-        each = phrase.split(" ")
-        stands = lambda i, each=each: _all(F.get(words, i + k) == w for k, w in enumerate(each))
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
-        found.append(F.transform(places, lambda i, label=label: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))))
-    return F.concat(*found)
+    return F.concat(*(_places(words, phrase.split(" "), label) for phrase, label in phrases))
+
+
+def _places(words, phrase, label):
+    def stands(i):
+        return _all(F.get(words, i + k) == w for k, w in enumerate(phrase))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
+    return F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
 def _all(conditions):
@@ -75,7 +77,7 @@ def _all(conditions):
     return out
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: int = 80) -> DataFrame:
+def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: int = 92) -> DataFrame:
     """(doc, key, label, contained) for docs (doc, key, body): templates met by a block of the text, and the largest share contained."""
     sets = [(i, label, _template_words(text)) for i, (label, text) in enumerate(templates)]
     need = {i: -(-threshold * len(words) // 100) for i, _, words in sets}
@@ -106,7 +108,7 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: int = 80)
     return met.groupBy("doc", "key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("contained"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 92) -> DataFrame:
     """One row per document row: words, phrase places, labels of phrases and of templates, score."""
     chosen = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     plain = F.trim(F.regexp_replace(_lower(F.col("body")), _GAPS, " "))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, toxicity, url_filter
+from . import decontamination, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from .tables import read, vocabulary
 
 
@@ -42,11 +42,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_quality": op2_line_quality,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_license_scan": op7_license_scan,
     "op8_ngram_join": op8_ngram_join,
     "op9_html_text": op9_html_text,
