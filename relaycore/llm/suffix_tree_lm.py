@@ -1,42 +1,44 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Training counts every word of the training documents.  From these weighted
-words the tree learns the next character (or end of word) after the last ones;
-a context is kept if it is frequent and the divergence of its next-symbol
-distribution from that of its parent, times its count, passes a bound, or if a
-longer kept context ends in it.  Contexts reach back to the start of their word.
-Distributions are smoothed along the path: each context's counts are mixed with
-its parent's distribution.  A word's probability is that of its characters, each
-from the longest context kept.  A text's is that of its words and end: a known word's
-discounted relative frequency plus, for any word, the discounted mass times the
-tree's probability.
-
-Word counts are exact and shuffled by word; the most frequent words, at most
-`head_words`, are broadcast, all others meet the documents' words in a join.
-The tree is bounded: a context holds at least the share `least_share` of all symbols, so
-at most 1 / `least_share` contexts of each of `depth` lengths exist, whatever
-the corpus.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of the training documents, their end, and one symbol for
+any unknown word.  The root holds the discounted relative frequencies; what
+discounting frees goes to the unknown word.  A context, the last one to `depth`
+words, is kept if the divergence of its next-symbol distribution from that of
+its parent, times its count, passes a bound; of its symbols, those that add
+enough to it are kept.  Each kept context's discounted frequencies are smoothed
+with its parent's distribution, and every word of a text is scored from the
+longest suffix of the words before it that the tree holds.
+
+The tree grows by one level a pass: pairs of a context and a next symbol are
+counted over all training documents, summed by ranges of their hash, so that a
+frequent context is not one task's.  Word counts are exact.  The most
+frequent words, at most `head_words`, are broadcast and can be symbols of
+contexts; all other words take part at the root, where they meet their counts
+in a join.  A kept pair holds at least the share `least_share` of all tokens, so
+the tree's size is bounded whatever the corpus.
 
 Defined cases: a null text counts as empty and holds just its end; without
-training documents every score is the tree's uniform one; rows of one doc_id and
-one text are scored alike.
+training documents every score is 0 tokens' worth of the unknown word; rows of
+one doc_id and one text are scored alike.
 """
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import crc_mod, cut, share
+from . import textbytes as tb
+from .exchange import by_bucket
+from .tables import bucket_count, crc_mod, cut, share
 
 U64 = np.uint64
-START, END = 1, 0  # symbols around a word; words hold neither
-#: The token after a document's last word; no word is empty.
+#: The token after a document's last word, and before its first; no word is empty.
 STOP = b""
 _FLUSH = 1 << 20
-DISCOUNT = 0.75
+_PAIRS = 1 << 22
 
 
 def tokens(data):
@@ -64,119 +66,99 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("body").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _symbols(words):
-    """The characters of words between marks, the index of each in its word, and its word's number."""
-    text = np.frombuffer(b"".join(bytes([START]) + w + bytes([END]) for w in words), np.uint8)
-    sizes = np.array([len(w) + 2 for w in words])
-    base = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(words)), sizes)
-    return text, np.arange(len(text)) - base[number], number
-
-
-def _contexts(text, index, depth):
-    """For d = 0..depth: places whose context has d symbols, and the keys of these contexts.
+class SuffixTree:
+    """The words that can be symbols, and per level the kept pairs of context and symbol.
 
-    A key is the depth and the context's bytes, the last one lowest.
+    A context of one word is the word's number; a longer one is the number of the
+    pair, one level up, that it extends.  A pair's key is the context's number and
+    the symbol's.
     """
-    at = np.flatnonzero(index > 0)
-    key = np.zeros(len(at), U64)
-    yield at, key
-    for d in range(1, depth + 1):
-        some = index[at] >= d
-        at, key = at[some], key[some]
-        key = key | (text[at - d].astype(U64) << U64(8 * (d - 1)))
-        yield at, key | (U64(d) << U64(56))
-
-
-def symbol_counts(counts: DataFrame, depth: int) -> DataFrame:
-    """(context, symbol, n) over weighted words."""
 
-    def run(batches):
-        words, weights = [], []
-        for batch in batches:
-            words += batch.column("word").to_pylist()
-            weights += batch.column("n").to_pylist()
-            if len(words) > _FLUSH // 4:
-                yield from pack(words, weights)
-                words, weights = [], []
-        if words:
-            yield from pack(words, weights)
-
-    def pack(words, weights):
-        text, index, number = _symbols(words)
-        weights = np.array(weights, np.int64)
-        for at, key in _contexts(text, index, depth):
-            order = np.lexsort((text[at], key))
-            at, key = at[order], key[order]
-            if not len(at):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (text[at[1:]] != text[at[:-1]])]))
-            sums = np.add.reduceat(weights[number[at]], new)
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(text[at[new]].astype(np.int16)), pa.array(sums)], names=["context", "symbol", "n"])
-
-    return counts.mapInArrow(run, "context long, symbol short, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-class SuffixTree:
-    """The kept contexts and their smoothed next-symbol counts."""
-
-    def __init__(self, context, symbol, n, depth, divergence=20.0, mixture=8.0):
-        self.depth, self.mixture = depth, mixture
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order].astype(U64), symbol[order].astype(np.int64), n[order].astype(float)
-        keys, start = np.unique(context, return_index=True)
-        totals = np.add.reduceat(n, start) if len(n) else np.empty(0)
-        of = np.searchsorted(keys, context)
-        kept = np.zeros(len(keys), bool)
-        d = (keys >> U64(56)).astype(np.int64)
-        parent = self._parents(keys)
-        at = np.searchsorted(keys, parent)
-        # Divergence of each context's distribution from its parent's, weighted by its count.
-        pairs = _pair(context, symbol)
-        by_pair = np.argsort(pairs)
-        up = by_pair[np.searchsorted(pairs[by_pair], _pair(parent[of], symbol))] if len(n) else of
-        p, q = n / totals[of], n[up] / totals[of[up]]
-        gain = np.bincount(of, n * np.log(p / q), len(keys))
-        kept |= (gain > divergence) | (d == 0)
-        for level in range(depth, 0, -1):
-            kept[at[(d == level) & kept]] = True
-        some = kept[of]
-        self.keys, self.totals = keys[kept], totals[kept]
-        order = np.argsort(pairs[some])
-        self.pairs, self.counts = pairs[some][order], n[some][order]
-
-    @staticmethod
-    def _parents(keys):
-        d = (keys >> U64(56)).astype(np.int64)
-        shorter = np.maximum(d - 1, 0)
-        mask = (U64(1) << (U64(8) * shorter.astype(U64))) - U64(1)
-        return np.where(d > 0, (keys & mask) | (shorter.astype(U64) << U64(56)), keys)
-
-    def log10(self, words):
-        """log10 probability of each word's characters and end."""
-        if not words:
-            return np.empty(0)
-        text, index, number = _symbols(words)
-        p = np.full(len(text), 1 / 256)
-        alive = None
-        for at, key in _contexts(text, index, self.depth):
-            if alive is not None:  # a context is found only below its parent
-                some = alive[at]
-                at, key = at[some], key[some]
-            k = _find(self.keys, key)
-            found = k >= 0
-            at, key, k = at[found], key[found], k[found]
-            alive = np.zeros(len(text), bool)
-            alive[at] = True
-            pair = _find(self.pairs, _pair(key, text[at].astype(np.int64)))
-            seen = np.where(pair >= 0, self.counts[pair], 0.0) if len(self.counts) else 0.0
-            p[at] = (seen + self.mixture * p[at]) / (self.totals[k] + self.mixture)
-        p[index == 0] = 1
-        return np.bincount(number, np.log10(p), len(words))
-
-
-def _pair(context, symbol):
-    return (context ^ (context >> U64(31))) * U64(0x9E3779B97F4A7C15) + symbol.astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    def __init__(self, words, counts, n, v, once, twice):
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.counts, self.n, self.v = np.array(counts, float), n, v
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.unknown = self.discount * v / n if n else 1.0
+        self.levels = []  # (keys, counts, totals of the level's contexts, what each leaves to its parent)
+
+    def root(self, c):
+        """Probability at the root of words of the counts c; 0 is the unknown word."""
+        c = np.asarray(c, float)
+        return np.where(c > 0, np.maximum(c - self.discount, 1e-3) / max(1, self.n), self.unknown)
+
+    def numbers(self, words):
+        return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+
+    def walk(self, ids):
+        """Per level the context's number at each place (-1: not in the tree) and the pair's."""
+        context = np.concatenate([[self.ids.get(STOP, -1)], ids[:-1]])
+        out = []
+        for keys, *_ in self.levels:
+            pair = np.where((context >= 0) & (ids >= 0), _find(keys, _keys(context, ids)), -1)
+            out.append((context, pair))
+            context = np.concatenate([[-1], pair[:-1]])
+        return out, context
+
+    def probabilities(self, ids):
+        """Probability of each symbol; what a word outside the symbols (-1) is left by its contexts."""
+        p = np.where(ids >= 0, self.root(self.counts[ids]) if len(self.counts) else 1.0, 1.0)
+        for (context, pair), (_, counts, totals, left) in zip(self.walk(ids)[0], self.levels):
+            at = np.flatnonzero(context >= 0)
+            some = context[at]
+            p[at] *= left[some]
+            at = np.flatnonzero(pair >= 0)
+            p[at] += (counts[pair[at]] - self.discount) / totals[context[at]]
+        return p
+
+    def add_level(self, keys, counts, symbol_gain=4.0, context_gain=12.0):
+        """Keep of the next level's counted pairs what diverges enough from the parents."""
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(float)
+        context, symbol = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
+        totals = self.levels[-1][1] if self.levels else self.counts
+        parent = self.root(self.counts[symbol])
+        if self.levels:
+            # The parent of a context drops its first word: its pairs are looked up along the suffixes.
+            parent = self._given(self._suffix(context), symbol)
+        gain = counts * np.log(counts / totals[context] / parent)
+        kept = gain > symbol_gain
+        whole = np.bincount(context[kept], gain[kept], len(totals))
+        kept &= whole[context] > context_gain
+        context, counts = context[kept], counts[kept]
+        left = 1 - np.bincount(context, (counts - self.discount) / totals[context], len(totals))
+        self.levels.append((keys[kept], counts, totals, np.maximum(left, 1e-9)))
+
+    def _words_of(self, level, context):
+        """The words of contexts of a level (0: one word), oldest first, as columns."""
+        columns = []
+        for k in range(level - 1, -1, -1):
+            key = self.levels[k][0][context]
+            columns.append((key & U64(0xFFFFFFFF)).astype(np.int64))
+            context = (key >> U64(32)).astype(np.int64)
+        return [context, *columns[::-1]]
+
+    def _suffix(self, context):
+        """Words of the contexts of the level to come, without their first word."""
+        return self._words_of(len(self.levels), context)[1:]
+
+    def _given(self, words, symbol):
+        """Probability of symbols after the given words, from the levels there are."""
+        p = self.root(self.counts[symbol])
+        for length in range(1, len(words) + 1):
+            context = words[-length]
+            for k, nxt in enumerate(words[len(words) - length + 1 :]):
+                context = np.where(context >= 0, _find(self.levels[k][0], _keys(np.maximum(context, 0), nxt)), -1)
+            keys, counts, totals, left = self.levels[length - 1]
+            known = context >= 0
+            safe = np.maximum(context, 0)
+            pair = np.where(known, _find(keys, _keys(safe, symbol)), -1)
+            own = np.where(pair >= 0, (counts[pair] - self.discount) / totals[safe], 0.0) if len(counts) else 0.0
+            p = np.where(known, own + left[safe] * p, p)
+        return p
+
+
+def _keys(context, symbol):
+    return (context.astype(U64) << U64(32)) | symbol.astype(np.int64).astype(U64) & U64(0xFFFFFFFF)
 
 
 def _find(keys, wanted):
@@ -186,93 +168,106 @@ def _find(keys, wanted):
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Model:
-    """Totals, tree and the scores of the most frequent words."""
-
-    def __init__(self, n, v, tree, head):
-        self.n, self.v, self.tree = n, v, tree
-        words, counts = zip(*head) if head else ((), ())
-        tree_scores = tree.log10(list(words))
-        self.head = {w: (self.base(c), self.score(c, t)) for w, c, t in zip(words, counts, tree_scores.tolist())}
-
-    def base(self, c):
-        return math.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
-    def score(self, c, tree_score):
-        if not self.n:
-            return tree_score
-        rest = DISCOUNT * self.v / self.n
-        return math.log10(max(c - DISCOUNT, 0.0) / self.n + rest * 10**tree_score)
+def pair_counts(docs: DataFrame, tree: SuffixTree, least: int) -> DataFrame:
+    """(pair, n) of the pairs of the tree's next level that occur at least `least` times in docs (body)."""
+    shared = share(docs.sparkSession, tree)
+    bits = bucket_count(docs.sparkSession).bit_length() - 1
 
+    def run(batches):
+        tree, held, size = shared(), [], 0
+        for batch in batches:
+            for data in batch.column("body").cast(pa.binary()).to_pylist():
+                ids = tree.numbers([*tokens(data), STOP])
+                context = tree.walk(ids)[1]
+                some = (context >= 0) & (ids >= 0)
+                held.append(_keys(context[some], ids[some]))
+                size += len(held[-1])
+            if size > _PAIRS:
+                yield pack(held)
+                held, size = [], 0
+        if size:
+            yield pack(held)
 
-def train(counts: DataFrame, depth: int = 5, least_share: float = 2e-5, head_words: int = 300_000) -> Model:
-    """The model of (word, n) counts, which should be a checkpoint."""
-    n, v, total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.col("n") * (F.length("word") + 1)), F.lit(0))).first()
-    symbols = cut(symbol_counts(counts, depth))
-    often = symbols.groupBy("context").agg(F.sum("n").alias("t")).filter(F.col("t") >= max(2, least_share * total))
-    rows = symbols.join(often.select(F.col("context").alias("c")), F.col("context") == F.col("c")).select("context", "symbol", "n").toArrow()
-    tree = SuffixTree(*(rows.column(c).to_numpy().astype(np.int64) for c in ("context", "symbol", "n")), depth)
-    # The least count of the head, from the number of words in each count's class.
-    classes = {r.k: r.w for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("k")).agg(F.count("*").alias("w")).collect()}
+    def pack(held):
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        spread = tb.mix(keys)
+        order = np.argsort(spread)
+        keys, counts, spread = keys[order], counts[order].astype(np.uint32), spread[order]
+        rows = [(b, keys[i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(spread, bits)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "pairs", "counts"])
+
+    def total(table):
+        keys, of = np.unique(np.frombuffer(b"".join(table.column("pairs").to_pylist()), U64), return_inverse=True)
+        n = np.bincount(of, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)).astype(np.int64)
+        kept = n >= least
+        return pa.table({"pair": pa.array(keys[kept].view(np.int64)), "n": pa.array(n[kept])})
+
+    packed = docs.select("body").mapInArrow(run, "bucket int, pairs binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(total, "pair long, n long")
+
+
+def train(docs: DataFrame, counts: DataFrame, depth: int = 3, least_share: float = 5e-7, head_words: int = 300_000) -> SuffixTree:
+    """The tree of docs (body), whose (word, n) counts should be a checkpoint."""
+    n, v, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))).first()
+    # The least count of the head, from the number of words in each class of counts.
+    size_class = F.floor(F.log2("n") * 4)
+    classes = {r.k: r.w for r in counts.groupBy(size_class.alias("k")).agg(F.count("*").alias("w")).collect()}
     least, size = None, 0
     for k in sorted(classes, reverse=True):
         if size + classes[k] > head_words:
             break
         least, size = k, size + classes[k]
-    head = counts.filter(F.floor(F.log2("n") * 4) >= least).toArrow() if least is not None else None
-    return Model(n, v, tree, sorted(zip(head.column("word").to_pylist(), head.column("n").to_pylist())) if head else [])
+    head = counts.filter(size_class >= least).toArrow() if least is not None else None
+    words = sorted(zip(head.column("word").to_pylist(), head.column("n").to_pylist())) if head else []
+    tree = SuffixTree([w for w, _ in words], [c for _, c in words], n, v, once, twice)
+    for _ in range(depth):
+        found = pair_counts(docs, tree, max(3, math.ceil(least_share * n))).toArrow()
+        if not found.num_rows:
+            break
+        tree.add_level(found.column("pair").to_numpy().view(U64), found.column("n").to_numpy())
+        if not len(tree.levels[-1][0]):
+            break
+    return tree
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
     """docs (doc, key, body) to (doc, key, n_tokens, n_known, base_score, score), one row per distinct document."""
-    spark = docs.sparkSession
-    shared = share(spark, model)
-    schema = "doc long, key long, word binary, n long, known long, base double, score double, tree double"
+    shared = share(docs.sparkSession, tree)
+    n, v = tree.n, tree.v
+    schema = "doc long, key long, word binary, n long, known long, base double, score double"
 
     def run(batches):
-        model = shared()
-        head = model.head
+        tree = shared()
+        base = np.log10((tree.counts + 0.5) / (n + 0.5 * (v + 1)))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            rows, rare = [], {}
+            rows = []
             for doc, key, data in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist()):
-                words = tokens(data)
-                words.append(STOP)
-                base = total = 0.0
-                known = 0
-                unresolved = Counter()
-                for word in words:
-                    found = head.get(word)
-                    if found is None:
-                        unresolved[word] += 1
-                    else:
-                        base += found[0]
-                        total += found[1]
-                        known += 1
-                rows.append((doc, key, None, len(words), known, base, total, None))
-                for word, n in unresolved.items():
-                    rare.setdefault(word, len(rare))
-                    rows.append((doc, key, word, n, None, None, None, None))
-            tree = model.tree.log10(list(rare)).tolist()
-            trees = [None if r[2] is None else tree[rare[r[2]]] for r in rows]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                words = [*tokens(data), STOP]
+                ids = tree.numbers(words)
+                known = ids >= 0
+                total = float(np.log10(tree.probabilities(ids)).sum())
+                rows.append((doc, key, None, len(words), int(known.sum()), float(base[ids[known]].sum()), total))
+                rare = Counter(words[k] for k in np.flatnonzero(~known).tolist())
+                rows.extend((doc, key, word, times, None, None, None) for word, times in rare.items())
             for lo in range(0, len(rows), 50_000):
                 part = rows[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)), pa.array(trees[lo : lo + 50_000], pa.float64())], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=names)
 
     made = docs.select("doc", "key", "body").mapInArrow(run, schema)
     # Words outside the head meet their counts; a document's own row joins nothing.
-    tail = counts.select(F.col("word").alias("c_word"), F.col("n").alias("c"))
-    joined = made.join(tail, F.col("word") == F.col("c_word"), "left")
+    rare = counts.select(F.col("word").alias("c_word"), F.col("n").alias("c"))
+    joined = made.join(rare, F.col("word") == F.col("c_word"), "left")
     c = F.coalesce("c", F.lit(0))
     own = F.col("word").isNull()
-    rest = DISCOUNT * model.v / model.n if model.n else 0.0
-    base = F.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
-    full = F.log10(F.greatest(c - DISCOUNT, F.lit(0.0)) / max(1, model.n) + rest * F.pow(F.lit(10.0), F.col("tree"))) if model.n else F.col("tree")
+    base = F.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    root = F.log10(F.when(c > 0, F.greatest(c - tree.discount, F.lit(1e-3)) / max(1, n)).otherwise(tree.unknown))
     return joined.groupBy("doc", "key").agg(
         F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(own, F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
         F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * base)).alias("base_score"),
-        F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * full)).alias("score"),
+        F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * root)).alias("score"),
         F.count(F.when(own, 1)).alias("rows"),
     )
 
@@ -281,9 +276,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """Scores of every document; those whose crc32(doc_id) mod 5 is not 1 are the training set."""
     held_out = F.coalesce(crc_mod("doc", 5) == 1, F.lit(False))
     chosen = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").alias("body"))
-    counts = cut(word_counts(chosen.filter(~held_out)))
-    model = train(counts, **options)
-    scored = score(chosen, model, counts)
+    training = chosen.filter(~held_out)
+    counts = cut(word_counts(training))
+    tree = train(training, counts, **options)
+    scored = score(chosen, tree, counts)
     # Equal rows were summed together: each gets its share, and a row.
     each = scored.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
     share_of = lambda name: F.col(name) / F.col("rows")
@@ -292,7 +288,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
         held_out.alias("held_out"),
         share_of("n_tokens").cast("long").alias("n_tokens"),
         share_of("n_known").cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(tree.n).cast("long").alias("train_tokens"),
         share_of("base_score").alias("base_score"),
         share_of("score").alias("score"),
     )
