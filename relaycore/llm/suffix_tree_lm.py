@@ -239,21 +239,25 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
     def run(batches):
         tree = shared()
         base = np.log10((tree.counts + 0.5) / (n + 0.5 * (v + 1)))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            rows = []
-            for doc, key, data in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist()):
+            measured, rare, times = [], [], []
+            for data in batch.column("body").cast(pa.binary()).to_pylist():
                 words = [*tokens(data), STOP]
                 ids = tree.numbers(words)
                 known = ids >= 0
-                total = float(np.log10(tree.probabilities(ids)).sum())
-                rows.append((doc, key, None, len(words), int(known.sum()), float(base[ids[known]].sum()), total))
-                rare = Counter(words[k] for k in np.flatnonzero(~known).tolist())
-                rows.extend((doc, key, word, times, None, None, None) for word, times in rare.items())
-            for lo in range(0, len(rows), 50_000):
-                part = rows[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)], names=names)
+                measured.append((len(words), int(known.sum()), float(base[ids[known]].sum()), float(np.log10(tree.probabilities(ids)).sum())))
+                unknown = np.flatnonzero(~known).tolist()
+                rare += [words[k] for k in unknown]
+                times.append(len(unknown))
+            rows = len(measured)
+            columns = [pa.array([m[i] for m in measured], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.nulls(rows, pa.binary()), *columns], names=names)
+            at = pa.array(np.repeat(np.arange(rows), times))
+            for lo in range(0, len(rare), 100_000):
+                part, of = pa.array(rare[lo : lo + 100_000], pa.binary()), at[lo : lo + 100_000]
+                nothing = [pa.nulls(len(part), k) for k in (pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("key").take(of), part, pa.array(np.ones(len(part), np.int64)), *nothing], names=names)
 
     made = docs.select("doc", "key", "body").mapInArrow(run, schema)
     # Words outside the head meet their counts; a document's own row joins nothing.
