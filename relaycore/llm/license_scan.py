@@ -117,7 +117,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     some = _any(F.contains(F.col("plain"), F.lit(p)) for p, _ in PHRASES)
     nothing = F.array().cast("array<struct<at:bigint,label:string>>")
     # The words are bound once: an expression inside a lambda is evaluated at every step.
-    bound = F.get(F.transform(F.array(F.split("plain", " ")), phrase_places), 0)
+    bound = F.get(F.transform(F.array(F.split("plain", " ")), lambda words: phrase_places(words)), 0)
     places = F.when(some, bound).otherwise(nothing)
     base = counted.select("doc", "key", n_words.alias("n_words"), places.alias("places"))
     met = template_matches(chosen, threshold=threshold).groupBy(F.col("doc").alias("m_doc"), F.col("key").alias("m_key")).agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
