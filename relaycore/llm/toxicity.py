@@ -67,21 +67,27 @@ class KneserNeyPair:
     passage copied into many texts counts once.
     """
 
-    def __init__(self, texts, toxic, least=4, share=0.002, discount=0.75):
-        """Words and pairs with fewer than `least` contexts, or than `share` of the texts, are left to the backoff."""
-        least = max(least, share * len(texts))
-        words = [_word_hashes(t) for t in texts]
+    def __init__(self, words, toxic, least=4, share=0.002, discount=0.75):
+        """words: the word hashes of each text.
+
+        Words and pairs with fewer than `least` contexts, or than `share` of the texts, are left to the backoff.
+        """
+        least = max(least, share * len(words))
+        side = np.repeat(np.asarray(toxic, np.int8), [len(w) for w in words])
         start = np.zeros(1, U64)
         flat = np.concatenate(words)
-        side = np.repeat(np.asarray(toxic, np.int64), [len(w) for w in words])
-        before = np.concatenate([np.concatenate([start, w])[: len(w)] for w in words])
-        earlier = np.concatenate([np.concatenate([start, start, w])[: len(w)] for w in words])
         keys, of_word = np.unique(flat, return_inverse=True)
-        pairs, example, of_pair = np.unique(tb.mix(before * _PAIR + flat), return_index=True, return_inverse=True)
+        before = np.concatenate([np.concatenate([start, w])[: len(w)] for w in words])
         counts = _continuations(side, before, of_word, len(keys))
+        pairs, example, of_pair = np.unique(tb.mix(before * _PAIR + flat), return_index=True, return_inverse=True)
+        del flat
+        first, second = before[example], of_word[example]
+        del before, of_word, example
+        earlier = np.concatenate([np.concatenate([start, start, w])[: len(w)] for w in words])
         pair_counts = _continuations(side, earlier, of_pair, len(pairs))
+        del earlier, of_pair, side
         # Shared backoff: in how many distinct contexts, of either class, a word occurs.
-        shared = np.bincount(of_word[example], minlength=len(keys)) + 0.5
+        shared = np.bincount(second, minlength=len(keys)) + 0.5
         shared /= shared.sum() + 0.5
         kept = counts.sum(0) >= least
         seen = np.where(kept, np.maximum(counts - discount, 0), 0) / np.maximum(counts.sum(1, keepdims=True), 1)
@@ -89,9 +95,9 @@ class KneserNeyPair:
         word_p = seen + rest * shared
         self.unknown = float(np.log(rest[1, 0]) - np.log(rest[0, 0]))
         # Pairs: what discounting and pruning leave goes to the class unigrams.
-        head = _lookup(keys, before[example])
+        head = _lookup(keys, first)
         strong = np.flatnonzero((pair_counts.sum(0) >= least) & (head >= 0))
-        tail, head = of_word[example[strong]], head[strong]
+        tail, head = second[strong], head[strong]
         total = np.stack([np.bincount(head, pair_counts[c, strong], len(keys)) for c in (0, 1)])
         total = np.maximum(total, counts)
         pair_seen = np.maximum(pair_counts[:, strong] - discount, 0) / np.maximum(total[:, head], 1)
@@ -114,9 +120,8 @@ class KneserNeyPair:
             out[1:] = np.where(pair >= 0, self.pair[pair], fallback) if len(self.pair) else fallback
         return out
 
-    def features(self, data):
+    def features(self, words):
         """Mean difference, and the means over the most toxic words and stretches."""
-        words = _word_hashes(data) if data else np.empty(0, U64)
         if not len(words):
             return np.zeros(N_FEATURES)
         d = self.differences(words)
@@ -139,13 +144,14 @@ class Scorer:
             return
         fold = np.array([r[0] for r in rows], np.int64) % seed_fold
         features = np.zeros((len(rows), N_FEATURES))
+        words = [_word_hashes(r[2]) for r in rows]
         for k in range(seed_fold):  # each row's features come from models that have not seen it
             counted = np.flatnonzero(fold != k)
             if len(counted) and 0 < labels[counted].sum() < len(counted):
-                model = KneserNeyPair([rows[i][2] for i in counted], labels[counted])
+                model = KneserNeyPair([words[i] for i in counted], labels[counted])
                 for i in np.flatnonzero(fold == k):
-                    features[i] = model.features(rows[i][2])
-        self.model = KneserNeyPair([r[2] for r in rows], labels)
+                    features[i] = model.features(words[i])
+        self.model = KneserNeyPair(words, labels)
         self.mean, self.scale = features.mean(0), features.std(0) + 1e-9
         self.weights = _logistic((features - self.mean) / self.scale, labels)
         margin = (features - self.mean) / self.scale @ self.weights[1:] + self.weights[0]
@@ -155,7 +161,7 @@ class Scorer:
     def score(self, data):
         if self.model is None:
             return self.prior
-        x = (self.model.features(data) - self.mean) / self.scale
+        x = (self.model.features(_word_hashes(data or b"")) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30))))
 
 
