@@ -19,8 +19,11 @@ labels); null doc_ids are never used for training; repeated document rows are
 scored alike; conflicting labels of one doc_id all count.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
@@ -204,8 +207,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
             texts = [None if t is None else t[: max_words * 16] for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array([t and b" ".join(t.split(None, max_words)[:max_words]) for t in texts], pa.binary())], names=["fold", "toxic", "text"])
 
-    sample = rows.mapInArrow(cut, "fold long, toxic int, text binary").toLocalIterator()
-    return Scorer(sorted((r.fold & 0x7FFFFFFF, r.toxic, bytes(r.text or b"")) for r in sample), odds)
+    def train(batches):
+        sample = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text")))]
+        made = Scorer(sorted((fold & 0x7FFFFFFF, toxic, text or b"") for fold, toxic, text in sample), odds)
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(made)], pa.binary())], names=["scorer"])
+
+    # The sample is bounded, so one executor fits the models and the driver only passes them on.
+    sample = rows.mapInArrow(cut, "fold long, toxic int, text binary").repartition(1)
+    return pickle.loads(sample.mapInArrow(train, "scorer binary").first().scorer)
 
 
 def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity", carry: list[str] | None = None) -> DataFrame:
