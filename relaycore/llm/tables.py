@@ -7,7 +7,19 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Rows of an Arrow batch at most: a batch of long texts is held several times on either side of the pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to `BATCH_ROWS`, so memory does not follow the length of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint()
 
 
@@ -30,12 +43,14 @@ def share(spark: SparkSession, value):
 
     Classes travel by value, so executors need no copy of the package.
     """
+    small_batches(spark)
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: pickle.loads(held.value)
 
 
 def bucket_count(spark: SparkSession, factor: int = 4, least: int = 16) -> int:
     """A power of two that follows the cluster's shuffle parallelism."""
+    small_batches(spark)
     wanted = max(least, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
     return 1 << (wanted - 1).bit_length()
 
