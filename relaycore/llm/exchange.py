@@ -16,10 +16,10 @@ from .tables import bucket_count
 
 U64 = np.uint64
 #: A task packs and sends what it has after so many hashes.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Bits of the whole filter, and bytes of the frequency classes, at most.
-FILTER_BITS = 1 << 28
-CLASS_BYTES = 1 << 22
+FILTER_BITS = 1 << 27
+CLASS_BYTES = 1 << 21
 #: Hashes met less often have no frequency class.
 FREQUENT = 8
 
@@ -93,7 +93,6 @@ def repeat_sketch(df: DataFrame, hashes_of) -> RepeatSketch:
                 rows.setdefault(b, [b"", b"", b""])[1:] = many[i:j].tobytes(), counts[i:j].tobytes()
             return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array([r[i] for r in rows.values()], pa.binary()) for i in range(3))], names=["bucket", "once", "many", "counts"])
 
-        tb.lean_memory()
         held, size = [], 0
         for batch in batches:
             for hashes in hashes_of(batch):
@@ -106,7 +105,6 @@ def repeat_sketch(df: DataFrame, hashes_of) -> RepeatSketch:
             yield pack(held)
 
     def summarise(table):
-        tb.lean_memory()
         blob = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         once, many, counts = blob("once", U64), blob("many", U64), blob("counts", np.uint32)
         hashes, of = np.unique(np.concatenate([once, many]), return_inverse=True)

@@ -39,7 +39,7 @@ U64 = np.uint64
 GRAM = 32
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Snippet bytes a task holds before it packs, and bytes sorted at once.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 6 << 20
 SORTED_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
 _SEPARATOR = 0xFF  # in no UTF-8 text
@@ -234,7 +234,6 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
 
         places, cuts, size = {}, _Intervals(), 0
         known = sketch()
-        tb.lean_memory()
         for batch in batches:
             for doc, key, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "key")), batch.column("body").cast(pa.binary()).to_pylist()):
                 if data is None or len(data) < length:
@@ -260,7 +259,6 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
             yield pack(places, cuts)
 
     def settle(table):
-        tb.lean_memory()
         cuts, passed, places = _Intervals(), [], {}
         for doc, text, blob, entries, data in zip(*(table.column(c).to_pylist() for c in ("doc", "text", "cuts", "entries", "bytes"))):
             if entries is None:

@@ -38,7 +38,7 @@ U64 = np.uint64
 #: The token after a document's last word, and before its first; no word is empty.
 STOP = b""
 _FLUSH = 1 << 20
-_PAIRS = 1 << 21
+_PAIRS = 1 << 20
 
 
 def tokens(data):
@@ -174,7 +174,6 @@ def pair_counts(docs: DataFrame, tree: SuffixTree, least: int) -> DataFrame:
     bits = bucket_count(docs.sparkSession).bit_length() - 1
 
     def run(batches):
-        tb.lean_memory()
         tree, held, size = shared(), [], 0
         for batch in batches:
             for data in batch.column("body").cast(pa.binary()).to_pylist():

@@ -5,8 +5,6 @@ per word.  Multi-byte characters consist of bytes >= 0x80 only, which no ASCII
 separator class contains.
 """
 
-import ctypes
-
 import numpy as np
 
 U64 = np.uint64
@@ -45,14 +43,6 @@ def mix(h):
     return h ^ (h >> U64(33))
 
 
-def lean_memory():
-    """Lets a long-lived Python worker give large freed arrays back to the system at once (glibc's M_MMAP_THRESHOLD)."""
-    try:
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 19)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 def as_array(data):
     return np.frombuffer(data, np.uint8)
 

@@ -208,7 +208,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array([t and b" ".join(t.split(None, max_words)[:max_words]) for t in texts], pa.binary())], names=["fold", "toxic", "text"])
 
     def train(batches):
-        tb.lean_memory()
         sample = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text")))]
         made = Scorer(sorted((fold & 0x7FFFFFFF, toxic, text or b"") for fold, toxic, text in sample), odds)
         yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(made)], pa.binary())], names=["scorer"])
