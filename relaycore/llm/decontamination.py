@@ -148,13 +148,13 @@ def _automaton(block, window):
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 100_000, carry_text: bool = True):
-    """`docs` (without its text unless `carry_text`) plus n_words long, hits array<int> (hit word positions as [start, end) pairs) and items array<string>.
+    """`docs` (without its text unless `carry_text`) plus __n_words long, __hits array<int> (hit word positions as [start, end) pairs) and __items array<string>.
 
     With more than one benchmark block the passes chain: each adds its hits to the columns of the one before.
     """
-    names = {"n_words", "hits", "items"}
+    names = {"__n_words", "__hits", "__items"}
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    out = kept.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = kept.select("*", F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<int>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     chosen = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("binary").alias("words"))
     blocks = automata(chosen, window, block_words)
     automaton = next(blocks, None) or SuffixAutomaton(window).finish([])
@@ -172,7 +172,7 @@ def _one_pass(df, text, automaton, schema):
         get = a.vocabulary.get
         for batch in batches:
             counts, hits, items = [], [], []
-            before = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist())
+            before = zip(batch.column("__hits").to_pylist(), batch.column("__items").to_pylist())
             for data, (old, names) in zip(batch.column(text).cast(pa.binary()).to_pylist(), before):
                 words = words_of(data)
                 ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
@@ -183,7 +183,7 @@ def _one_pass(df, text, automaton, schema):
                 counts.append(len(words))
                 hits.append(np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32))
                 items.append(sorted(found))
-            new = {"n_words": pa.array(counts, pa.int64()), "hits": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))}
+            new = {"__n_words": pa.array(counts, pa.int64()), "__hits": pa.array(hits, pa.list_(pa.int32())), "__items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in columns], names=columns)
 
     return df.mapInArrow(run, schema)
@@ -192,14 +192,14 @@ def _one_pass(df, text, automaton, schema):
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document row: the counts, a digest of the items found, and the verdict."""
     hits = match(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, carry_text=False, **options)
-    n_hit = F.aggregate(F.transform("hits", lambda at, k: F.when(k % 2 == 1, at).otherwise(-at)), F.lit(0).cast("long"), lambda n, at: n + at)
+    n_hit = F.aggregate(F.transform("__hits", lambda at, k: F.when(k % 2 == 1, at).otherwise(-at)), F.lit(0).cast("long"), lambda n, at: n + at)
     return hits.select(
         "doc_id",
-        "n_words",
+        F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("__hits") > 0).alias("contaminated"),
     )
 
 
@@ -214,8 +214,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverag
     def run(batches):
         for batch in batches:
             keep, texts = [], []
-            n_words = batch.column("n_words").to_pylist()
-            for row, (data, hit) in enumerate(zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("hits").to_pylist())):
+            n_words = batch.column("__n_words").to_pylist()
+            for row, (data, hit) in enumerate(zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("__hits").to_pylist())):
                 if hit:
                     covered = sum(hit[1::2]) - sum(hit[::2])
                     if covered > max_coverage * n_words[row]:
