@@ -94,7 +94,9 @@ class SuffixTree:
         context = np.concatenate([[self.ids.get(STOP, -1)], ids[:-1]])
         out = []
         for keys, *_ in self.levels:
-            pair = np.where((context >= 0) & (ids >= 0), _find(keys, _keys(context, ids)), -1)
+            pair = np.full(len(ids), -1)
+            some = np.flatnonzero((context >= 0) & (ids >= 0))  # few places have a long context
+            pair[some] = _find(keys, _keys(context[some], ids[some]))
             out.append((context, pair))
             context = np.concatenate([[-1], pair[:-1]])
         return out, context
