@@ -1,5 +1,7 @@
 """Messages: eligibility of payloads, structure detection, segmentation, edges."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tokens import estimate_cost, heuristic_tokens
@@ -16,6 +18,11 @@ def looks_structured(text: Column) -> Column:
     return text.rlike(r"^\s*[\[{]") | text.rlike(r"^\s*<[a-zA-Z][^>]*>")
 
 
+def is_structured(text: str) -> bool:
+    """`looks_structured` for kernels."""
+    return bool(re.match(r"\s*(?:[\[{]|<[a-zA-Z][^>]*>)", text))
+
+
 def payload_eligible(role: Column, payload: Column, framework: str = "openai-chat") -> Column:
     roles = PAYLOAD_ROLES.get(framework)
     allowed = F.lit(True) if roles is None else role.isin(*roles)
