@@ -145,7 +145,7 @@ def _schema(messages, columns):
     return ", ".join(f"`{c}` {messages.schema[c].dataType.simpleString()}" for c in columns) + ", raw string, sent string, " + STATS_SCHEMA
 
 
-def _load(raw):
+def load(raw):
     try:
         return json.loads(raw if raw is not None else "null")
     except ValueError:
@@ -160,7 +160,7 @@ def _drive(processor, columns, places_of):
         for batch in batches:
             sent, stats = [], []
             for k, raw in enumerate(batch.column("raw").to_pylist()):
-                message = _load(raw)
+                message = load(raw)
                 out, found = processor.process(message, track.places(batch, k))
                 track.sent(out)
                 sent.append(raw if out is message else json.dumps(out, ensure_ascii=False))
