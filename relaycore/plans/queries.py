@@ -5,10 +5,11 @@ requirements are a document's lines, its stages the document without some of the
 (derived, as the tables hold no hand-off chains).
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import prose, tokens
-from ..operators import compress, dedup, handoff, messages
+from ..evaluation import experiment, matrix, tasks
+from ..operators import compress, dedup, handoff, messages, replay, sessions
 
 
 def _table(spark, d, name):
@@ -158,14 +159,108 @@ def _compressed(strategy, keep):
     return query
 
 
+def _raw(spark, d):
+    """Conversations as raw messages; source and target are the roles of a message and of the next one."""
+    rows = _conversations(spark, d)
+    following = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.select("conv_id", "turn", F.col("role").alias("source"), following.alias("target"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("raw"))
+
+
+def _session(strategy, **settings):
+    def query(spark, d):
+        done = sessions.process(_raw(spark, d), sessions.Processor("gpt-4.1", strategy, dedup=None, **settings))
+        return done.select("conv_id", "turn", "tokens_before", "tokens_after", "fell_back", "fallback_reason", "sent")
+
+    return query
+
+
+def session_off(spark, d):
+    done = sessions.process(_raw(spark, d), sessions.Processor("gpt-4.1", "off"))
+    return done.select("conv_id", "turn", "tokens_before", "tokens_after", "fell_back", (F.col("sent") == F.col("raw")).alias("unchanged"))
+
+
+def session_store(spark, d):
+    """Blocks that a session with a store of blocks replaces."""
+    return sessions.process_all(_raw(spark, d), sessions.Processor("gpt-4.1", "telegraphic", dedup="store")).select("conv_id", "turn", "dedup_hits")
+
+
+def session_new(spark, d):
+    """Blocks of a conversation's last message that its history holds."""
+    return sessions.process_new(_raw(spark, d), sessions.Processor("gpt-4.1", "telegraphic")).select("conv_id", "turn", "dedup_hits")
+
+
+def session_all(spark, d):
+    done = sessions.process_all(_raw(spark, d), sessions.Processor("gpt-4.1", "conservative"))
+    return done.select("conv_id", "turn", "tokens_before", "tokens_after", "dedup_hits", "sent")
+
+
+def profile_by_edge(spark, d):
+    done = sessions.process(_raw(spark, d), sessions.Processor("gpt-4.1", "off"), keys=("conv_id", "turn", "source", "target"))
+    return sessions.by_edge(sessions.records(done))
+
+
+def profile_totals(spark, d):
+    done = sessions.process(_raw(spark, d), sessions.Processor("gpt-4.1", "off"), keys=("conv_id", "turn", "source", "target"))
+    return sessions.totals(sessions.records(done)).select("tokens_before", "tokens_after", "tokens_saved", "overall_ratio", "fallbacks", "handoffs", F.array_join("tiers", ",").alias("tiers"))
+
+
+def matrix_summary(spark, d):
+    """The study over the tasks of seed 7, which no table holds."""
+    made = matrix.summarize(matrix.run(tasks.generate(spark)))
+    return made.select("strategy", "keep_ratio", "tasks", F.round("accuracy", 3).alias("accuracy"), F.round("mean_token_ratio", 3).alias("mean_token_ratio"))
+
+
+def safe_points(spark, d):
+    made = matrix.safe_points(matrix.summarize(matrix.run(tasks.generate(spark))))
+    return made.select("strategy", "keep_ratio", F.round("accuracy", 3).alias("accuracy"), F.round("mean_token_ratio", 3).alias("mean_token_ratio"))
+
+
+def experiment_statuses(spark, d):
+    return experiment.status_counts(experiment.replays(experiment.cases(spark)))
+
+
+def experiment_policies(spark, d):
+    return experiment.policy_totals(experiment.outcomes(experiment.cases(spark))).select("policy", "passed", "cases")
+
+
+def experiment_calls(spark, d):
+    return experiment.replay_totals(experiment.replays(experiment.cases(spark))).select("passed", "repaired", "calls")
+
+
+def _contracts(spark, d):
+    """A contract an item: the item's text is its evidence, its sentences are requirements, and every third item's first quote is not in it."""
+    text = F.col("text")
+    parts = F.transform(F.split(text, r"\. "), lambda q, k: F.struct(k.cast("string").alias("id"), F.lit("e").alias("evidence_id"), F.when((k == 0) & (F.col("item_id") % 3 == 0), F.concat(q, F.lit("#"))).otherwise(q).alias("quote")))
+    parts = F.filter(parts, lambda r: r["quote"] != "")
+    evidence = F.array(F.struct(F.lit("e").alias("id"), text.alias("text"), F.lit("item").alias("source")))
+    return _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("trace_id"), evidence.alias("evidence"), parts.alias("requirements"), text.alias("original"), F.left(text, (F.length(text) / 2).cast("int")).alias("candidate"))
+
+
+def contract_violations(spark, d):
+    return replay.violations(_contracts(spark, d))
+
+
+def capped_repair(spark, d):
+    done = replay.repair(_contracts(spark, d), max_added_tokens=60)
+    return done.select("trace_id", "text", "restored_ids", "unresolved_ids", "added_tokens", "contract_sha256", "error")
+
+
+def replayed_contracts(spark, d):
+    """Replay with a judge that wants an even or a long enough text, so that all phases occur."""
+    judge = lambda text: (len(text) > 150, {"chars": float(len(text))}, "")
+    return replay.diagnose(_contracts(spark, d), judge).select("trace_id", "status", "text", "success", "added_ids", "evaluations_used", "added_tokens", "reason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_count_documents, tokens_by_role, edge_profile, edge_cost, model_profiles, eligible_payloads, structured_pages, structured_events, whitespace_normalize,
         filler_strip, content_words, qualifiers, telegraph_text, sentence_salience, segment_rows, block_rows, content_store, store_hits, context_hits,
         audit_presence, audit_losses, repair_chains, evidence_hashes,
+        session_off, session_store, session_new, session_all, profile_by_edge, profile_totals, contract_violations, capped_repair, replayed_contracts,
+        matrix_summary, safe_points, experiment_statuses, experiment_policies, experiment_calls,
     )
-} | {"compress_conservative": _compressed("conservative", None), "compress_budgeted": _compressed("budgeted", 0.75), "compress_naive": _compressed("naive", 0.75)}
+} | {"compress_conservative": _compressed("conservative", None), "compress_budgeted": _compressed("budgeted", 0.75), "compress_telegraphic": _compressed("telegraphic", None), "compress_naive": _compressed("naive", 0.75), "session_conservative": _session("conservative"), "session_telegraphic": _session("telegraphic"), "session_balanced": _session("balanced"), "session_aggressive": _session("aggressive")}
 
 _STRUCTURED = r"(regexp_matches({0}, '^\s*[\[{{]') or regexp_matches({0}, '^\s*<[a-zA-Z][^>]*>'))"
 _BLOCKS = f"""b as (select conv_id, turn, unnest(range(len(l)))::int as block_idx, unnest(l) as block from (select conv_id, turn, regexp_split_to_array(text, '\\n[ \\t]*\\n') as l from ({_CONVERSATIONS}))),
@@ -174,13 +269,28 @@ _EDGES = f"""edges as (select coalesce(nullif(role,''),'?') || '->' || coalesce(
 
 _HANDLE = "('[ref lc:' || left(sha, 10) || ': call rehydrate(''lc:' || left(sha, 10) || ''') for the full content]')"
 
+_SEEN = "('[ref lc:' || left(sha, 10) || ': see earlier message ' || (place // 1000000 + 1)::varchar || ', paragraph ' || (place % 1000000 + 1)::varchar || ']')"
+
+
 def _sql_fillers(text):
     for pattern in prose.FILLERS:
         text = f"regexp_replace({text}, '(?i){pattern}', '', 'g')"
     return text
 
 
+_RAW = f"raws as (select conv_id, turn, role, text, {_sql_tokens("to_json({'role': role, 'content': text})::varchar")} as n, coalesce(nullif(role,''),'?') || '->' || coalesce(nullif(lead(role) over (partition by conv_id order by turn),''),'?') as edge, length(text) >= 80 and role in ('user','assistant','system','developer') and not {_STRUCTURED.format('text')} as open from ({_CONVERSATIONS}))"
+_OPEN_BLOCKS = f"{_RAW}, {_BLOCKS}, cand as (select b.*, row_number() over (partition by b.conv_id, b.sha order by b.turn, b.block_idx) as seen from blocks b join raws using (conv_id, turn) where open and b.tokens >= 25)"
+
+_CONTRACTS = """parts as (select item_id, text, len(string_split(text, '. ')) as n, unnest(range(len(string_split(text, '. ')))) as k, unnest(string_split(text, '. ')) as q from benchmark),
+quotes as (select item_id, text, k, case when k = 0 and item_id % 3 = 0 then q || '#' else q end as quote from parts)"""
+
 ORACLE_SQL = {
+    "session_off": f"with {_RAW} select conv_id, turn, n as tokens_before, n as tokens_after, false as fell_back, true as unchanged from raws",
+    "session_store": f"with {_OPEN_BLOCKS} select r.conv_id, r.turn, count(c.sha) as dedup_hits from raws r left join cand c on r.conv_id = c.conv_id and r.turn = c.turn and c.seen > 1 and {_sql_tokens(_HANDLE)} < c.tokens group by all",
+    "session_new": f"with {_OPEN_BLOCKS}, last as (select conv_id, max(turn) as turn, count(*) as n from raws group by conv_id), found as (select c.*, (select max(h.turn * 1000000 + h.block_idx) from blocks h where h.conv_id = c.conv_id and h.sha = c.sha and h.turn < c.turn) as place from cand c join last using (conv_id, turn)), worth as (select * from found where place is not null and {_sql_tokens(_SEEN)} < tokens) select l.conv_id, l.turn, count(w.sha) as dedup_hits from last l left join worth w using (conv_id, turn) group by all",
+    "profile_by_edge": f"with {_RAW} select edge, count(*) as handoffs, sum(n)::bigint as tokens_before, sum(n)::bigint as tokens_after, 0::bigint as fallbacks from raws group by edge",
+    "profile_totals": f"with {_RAW} select sum(n)::bigint as tokens_before, sum(n)::bigint as tokens_after, 0::bigint as tokens_saved, 1.0::double as overall_ratio, 0::bigint as fallbacks, count(*) as handoffs, 'estimate' as tiers from raws",
+    "contract_violations": f"with {_CONTRACTS} select item_id::varchar as trace_id, 'quote not in evidence' as kind, k::varchar as id from quotes where quote <> '' and not contains(text, quote)",
     "filler_strip": f"select doc_id, {_sql_fillers("'Please note that basically, ' || text")} as text from documents",
     "qualifiers": "select doc_id, lower(array_to_string(regexp_extract_all('It is very much, really and Simply ' || text, '(?i)\\b(?:" + "|".join(prose.QUALIFIERS) + ")\\b'), ',')) as qualifiers from documents",
     "token_count_documents": f"select doc_id, {_sql_tokens('text')} as tokens from documents",

@@ -55,7 +55,7 @@ def write_tasks(tasks: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 def read_handoffs(spark: SparkSession, path) -> DataFrame:
     """trace_id, evidence, requirements, handoffs of whole-file JSON; unknown keys, missing parts and empty hand-offs are errors."""
-    read = spark.read.option("multiLine", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("trace_id"), "value")
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), "value")
     made = F.from_json("value", CONTRACT_FILE, {"mode": "FAILFAST"})
     rows = read.select("trace_id", "value", made.alias("t"))
     # The canonical text has the known keys alone; a file with others has more leaves.
