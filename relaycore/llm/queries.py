@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, suffix_tree_lm, toxicity, url_filter
+from . import decontamination, html_text, license_scan, line_quality, ngram_join, oracles, packing, suffix_dedup, suffix_tree_lm, toxicity, url_filter
 from .tables import read, vocabulary
 
 
@@ -58,4 +58,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op3_decontamination": op3_decontamination,
 }
-ORACLE_SQL = {}
+ORACLE_SQL = {"op2_line_quality": oracles.LINE_QUALITY, "op3_decontamination": oracles.DECONTAMINATION, "op8_ngram_join": oracles.NGRAM_JOIN}
