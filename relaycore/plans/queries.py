@@ -284,7 +284,30 @@ _OPEN_BLOCKS = f"{_RAW}, {_BLOCKS}, cand as (select b.*, row_number() over (part
 _CONTRACTS = """parts as (select item_id, text, len(string_split(text, '. ')) as n, unnest(range(len(string_split(text, '. ')))) as k, unnest(string_split(text, '. ')) as q from benchmark),
 quotes as (select item_id, text, k, case when k = 0 and item_id % 3 = 0 then q || '#' else q end as quote from parts)"""
 
+_LIST = lambda words: ",".join("'" + w.replace("'", "''") + "'" for w in words)
+_EDGE = """[.,;:!?()"'']+"""
+_TELEGRAPH = f"""with pieces as (select doc_id, regexp_split_to_array(text, '{_GAP}+') as w, regexp_extract_all(text, '{_GAP}+') as g from documents),
+built as (select doc_id, array_to_string(list_transform(range(1, len(w) + 1), lambda i: (case when w[i] in ({_LIST(prose.DROPPABLE)}) and not coalesce(lower(regexp_replace(w[i - 1], '^{_EDGE}|{_EDGE}$', '', 'g')) in ({_LIST(prose.NEGATIONS)}), false) then '' else w[i] end) || coalesce(g[i], '')), '') as t from pieces)
+select doc_id, regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g') as text from built"""
+_NEEDED = prose.REQUIREMENTS.replace(r"(?iu)(?U)\b", r"(?i)(?:^|[^\pL\pN_])").removesuffix(r"\b") + r"(?:$|[^\pL\pN_])"
+_SALIENCE = rf"""with s as (select doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) as l from documents),
+x as (select doc_id, unnest(range(len(l)))::int as idx, unnest(l) as t from s)
+select doc_id, idx, round(case when regexp_matches(t, '\p{{Nd}}') then 0.6::double else 0 end + case when regexp_matches(t, '{_NEEDED}') then 0.6::double else 0 end + case when regexp_matches(t, '[a-z,;] [A-Z][a-z]+') then 0.3::double else 0 end, 3) as salience from x"""
+_REPAIRED = f"""with {_CHAINS}, lost as (select s.chain_id, s.idx, n.ord, n.quote from stages s join needs n using (chain_id) where not contains(s.text, n.quote)),
+kept as (select * from lost l where not exists (select 1 from lost e where e.chain_id = l.chain_id and e.idx = l.idx and e.ord < l.ord and contains(e.quote, l.quote))),
+grown as (select chain_id, idx, sum(length(chr(10) || chr(10) || '[Source clause {{"requirement": "' || ord::varchar || '", "evidence": "e", "source": "doc"}}]' || chr(10) || quote)) as more from kept group by all),
+missed as (select chain_id, idx, count(*) as n from lost group by all)
+select chain_id, idx, coalesce(n, 0) as n_restored, (length(text) + coalesce(more, 0))::bigint as n_chars from stages left join missed using (chain_id, idx) left join grown using (chain_id, idx)"""
+_PROFILES = f"""with m as (select unnest(['gpt-4.1-mini-2025', 'GPT-4.1', 'gpt-4o-x', 'o3-pro', 'claude-opus-4-1', 'claude-2', 'other']) as model),
+p as (select * from (values {",".join(f"('{n}', {price}::double)" for n, _, price, _, _ in tokens.PRICES)}) t(name, price))
+select model, case when regexp_matches(lower(model), '^({"|".join(tokens.OPENAI_PREFIXES)})') then 'openai' when starts_with(lower(model), 'claude') then 'anthropic' else 'unknown' end as family, arg_max(name, length(name)) as profile, arg_max(price, length(name)) as input_price
+from m left join p on starts_with(lower(model), name) group by model"""
+
 ORACLE_SQL = {
+    "telegraph_text": _TELEGRAPH,
+    "sentence_salience": _SALIENCE,
+    "repair_chains": _REPAIRED,
+    "model_profiles": _PROFILES,
     "session_off": f"with {_RAW} select conv_id, turn, n as tokens_before, n as tokens_after, false as fell_back, true as unchanged from raws",
     "session_store": f"with {_OPEN_BLOCKS} select r.conv_id, r.turn, count(c.sha) as dedup_hits from raws r left join cand c on r.conv_id = c.conv_id and r.turn = c.turn and c.seen > 1 and {_sql_tokens(_HANDLE)} < c.tokens group by all",
     "session_new": f"with {_OPEN_BLOCKS}, last as (select conv_id, max(turn) as turn, count(*) as n from raws group by conv_id), found as (select c.*, (select max(h.turn * 1000000 + h.block_idx) from blocks h where h.conv_id = c.conv_id and h.sha = c.sha and h.turn < c.turn) as place from cand c join last using (conv_id, turn)), worth as (select * from found where place is not null and {_sql_tokens(_SEEN)} < tokens) select l.conv_id, l.turn, count(w.sha) as dedup_hits from last l left join worth w using (conv_id, turn) group by all",

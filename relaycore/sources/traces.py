@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..evaluation.tasks import SCHEMA as _TASKS
 from ..operators.sessions import STATS_SCHEMA
 
 CONTRACT_FILE = "contract struct<evidence:array<struct<id:string,text:string,source:string>>,requirements:array<struct<id:string,evidence_id:string,quote:string>>>, handoffs array<struct<stage:string,text:string>>"
@@ -40,9 +41,8 @@ def read_trace(spark: SparkSession, path, order: bool = True) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path) -> DataFrame:
-    """Task lines (a file, or a folder of *.jsonl); message and expected fields stay JSON text."""
-    schema = "task_id string, family string, handoff_message string, receiver_question string, expected struct<kind:string,values:array<string>,fields:string>"
-    read = spark.read.schema(schema).option("mode", "FAILFAST").json(path, pathGlobFilter="*.jsonl" if Path(str(path)).suffix == "" else "*")
+    """Task lines (a file, or a folder with *.json and *.jsonl at any depth); message and expected fields stay JSON text."""
+    read = spark.read.schema(_TASKS).option("mode", "FAILFAST").json(path, pathGlobFilter="*.json*", recursiveFileLookup=True)
     expected = F.struct(F.col("expected.kind").alias("kind"), F.coalesce("expected.values", F.array().cast("array<string>")).alias("values"), F.coalesce("expected.fields", F.lit("{}")).alias("fields"))
     return read.withColumn("expected", expected)
 

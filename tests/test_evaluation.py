@@ -42,7 +42,7 @@ def test_tasks_round_trip(spark, tmp_path):
     made = tasks.generate(spark, 3, 5)
     traces.write_tasks(made, str(tmp_path / "t"))
     key = lambda df: sorted((r.task_id, r.receiver_question, json.loads(r.handoff_message)["content"], json.dumps(json.loads(r.expected.fields), sort_keys=True), r.expected["values"]) for r in df.collect())
-    back = spark.read.schema(tasks.SCHEMA).json(str(tmp_path / "t"))
+    back = traces.read_tasks(spark, str(tmp_path / "t"))
     assert key(back) == key(made)
     assert key(tasks.generate(spark, 4, 5)) != key(made)
 
