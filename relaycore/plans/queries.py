@@ -16,6 +16,12 @@ def _table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df):
+    """`df` over all cores where its few files give fewer tasks than cores; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _docs(spark, d):
     return _table(spark, d, "documents").select("doc_id", "text")
 
@@ -153,7 +159,7 @@ def evidence_hashes(spark, d):
 
 def _compressed(strategy, keep):
     def query(spark, d):
-        out = _table(spark, d, "conversations").withColumn("after", compress.compress(F.col("text"), strategy, keep))
+        out = _spread(_table(spark, d, "conversations")).withColumn("after", compress.compress(F.col("text"), strategy, keep))
         return out.select("conv_id", "turn", tokens.heuristic_tokens(F.col("text")).alias("tokens_before"), tokens.heuristic_tokens(F.col("after")).alias("tokens_after"), "after")
 
     return query
@@ -168,7 +174,8 @@ def _raw(spark, d):
 
 def _session(strategy, **settings):
     def query(spark, d):
-        done = sessions.process(_raw(spark, d), sessions.Processor("gpt-4.1", strategy, dedup=None, **settings))
+        rows = _spread(_raw(spark, d).select("conv_id", "turn", "raw"))
+        done = sessions.process(rows, sessions.Processor("gpt-4.1", strategy, dedup=None, **settings))
         return done.select("conv_id", "turn", "tokens_before", "tokens_after", "fell_back", "fallback_reason", "sent")
 
     return query
