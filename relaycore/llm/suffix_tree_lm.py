@@ -9,182 +9,221 @@ enough to it are kept.  Each kept context's discounted frequencies are smoothed
 with its parent's distribution, and every word of a text is scored from the
 longest suffix of the words before it that the tree holds.
 
-The tree grows by one level a pass: pairs of a context and a next symbol are
-counted over all training documents, summed by ranges of their hash, so that a
-frequent context is not one task's.  Word counts are exact.  The most
-frequent words, at most `head_words`, are broadcast and can be symbols of
-contexts; all other words take part at the root, where they meet their counts
-in a join.  A kept pair holds at least the share `least_share` of all tokens, so
-the tree's size is bounded whatever the corpus.
+Every training word can be context and symbol, and a pair of context and symbol
+is tested once it occurs `LEAST` times, whatever the corpus: the tree grows with
+it.  So it is never in one place.  Words and runs of words are named by 64-bit
+hashes, and the levels are tables by hash.  The tree grows by one level a pass:
+pairs are counted over all training documents and summed by ranges of their hash.
+
+The log probability of a word is a sum: that of the root, for each context in
+the tree the log of what it leaves to its parent, and for the kept pair of each
+level how much it lifts that.  So each run of words has one weight, and a
+document's score is the sum of the weights of its runs, found by a join on their
+hashes.  Two helpers of a fixed size change no result: a table of frequent runs,
+which are weighed where they stand, and a filter of the runs that the tree may
+hold, which has no false negatives and, overfull, costs time only.
 
 Defined cases: a null text counts as empty and holds just its end; without
 training documents every score is 0 tokens' worth of the unknown word; rows of
 one doc_id and one text are scored alike.
 """
 
-import math
-from collections import Counter
-from itertools import repeat
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbytes as tb
 from .exchange import by_bucket
 from .tables import bucket_count, crc_mod, cut, share
 
 U64 = np.uint64
-#: The token after a document's last word, and before its first; no word is empty.
-STOP = b""
-_FLUSH = 1 << 20
-_PAIRS = 1 << 20
+_RUN = U64(0xA24BAED4963EE407)
+#: The token after a document's last word, and before its first.
+STOP = U64(0x5851F42D4C957F2D)
+#: A pair is tested for divergence when it occurs this often.
+LEAST = 3
+_FLUSH = 1 << 21
+_CHUNK_BYTES = 1 << 22
+#: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
+_FILTER_BITS = 26
+_CACHE_BITS = 21
+
+
+def _join(context, symbol):
+    """Hash of the run of words that a context's hash and the next word make."""
+    return tb.mix(context * _RUN + symbol)
+
+
+def tokens(bodies):
+    """Of byte strings the words' hashes, each text's followed by STOP, and each token's place in its text and text."""
+    text = b" ".join(b or b"" for b in bodies).lower()
+    sizes = np.array([len(b or b"") + 1 for b in bodies])
+    arr = tb.as_array(text)
+    starts, ends = tb.word_spans(arr, tb.SPACE_WORD)
+    of = np.searchsorted(np.cumsum(sizes), starts, "right")
+    n = np.bincount(of, minlength=len(bodies)) + 1
+    last = np.cumsum(n) - 1
+    out = np.full(int(n.sum()), STOP)
+    word = np.ones(len(out), bool)
+    word[last] = False
+    out[word] = tb.span_hashes(arr, starts, ends)
+    return out, np.arange(len(out)) - np.repeat(last - n + 1, n), np.repeat(np.arange(len(bodies)), n)
+
+
+def runs(symbols, place, depth):
+    """For runs of 1 to depth + 1 words that end at each token: (hash, whether the text holds it)."""
+    before = np.concatenate([[STOP], symbols[:-1]])
+    before[place == 0] = STOP
+    out = [(symbols, np.ones(len(symbols), bool))]
+    for k in range(depth):
+        out.append((_join(before, symbols), place >= k))
+        before = np.concatenate([[STOP], out[-1][0][:-1]])
+    return out
+
+
+def _chunks(batches, column="body"):
+    """(batch, first row, bodies) of a bounded number of bytes, or one row."""
+    for batch in batches:
+        held, size, lo = [], 0, 0
+        for k, body in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
+            held.append(body)
+            size += len(body or b"")
+            if size > _CHUNK_BYTES:
+                yield batch, lo, held
+                held, size, lo = [], 0, k + 1
+        if held:
+            yield batch, lo, held
 
 
-def tokens(data):
-    return data.lower().split() if data else []
+def _signed(hashes):
+    return pa.array(np.ascontiguousarray(hashes).view(np.int64))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all words of docs (body) and their ends."""
+def _batch(names, kinds, rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def _counted(docs, columns_of, width, bits, least):
+    """Rows of `width` hashes that columns_of() yields, by the first: how often, if at least `least` times."""
+    names = [f"h{k}" for k in range(width)]
 
     def run(batches):
-        held = Counter()
-        for batch in batches:
-            for data in batch.column("body").cast(pa.binary()).to_pylist():
-                held.update(tokens(data))
-                held[STOP] += 1
-                if len(held) > _FLUSH:
-                    yield pack(held)
-                    held = Counter()
-        if held:
+        columns, held, size = columns_of(), [], 0
+        for _, _, bodies in _chunks(batches):
+            held.append(columns(bodies))
+            size += held[-1].shape[1]
+            if size > _FLUSH:
+                yield pack(held)
+                held, size = [], 0
+        if size:
             yield pack(held)
 
     def pack(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        rows = np.concatenate(held, axis=1)
+        keys, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
+        rows, counts = rows[:, first], counts.astype(np.uint32)
+        return _batch(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [(b, rows[:, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
 
-    return docs.select("body").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def total(table):
+        rows = np.concatenate([np.frombuffer(k, U64).reshape(width, -1) for k in table.column("keys").to_pylist()], axis=1)
+        _, first, of = np.unique(rows[0], return_index=True, return_inverse=True)
+        n = np.bincount(of, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)).astype(np.int64)
+        kept = n >= least
+        rows = rows[:, first[kept]]
+        return pa.table({**{c: _signed(r) for c, r in zip(names, rows)}, "n": pa.array(n[kept])})
 
+    packed = docs.select("body").mapInArrow(run, "bucket int, keys binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(total, ", ".join(f"{c} long" for c in names) + ", n long")
 
-class SuffixTree:
-    """The words that can be symbols, and per level the kept pairs of context and symbol.
 
-    A context of one word is the word's number; a longer one is the number of the
-    pair, one level up, that it extends.  A pair's key is the context's number and
-    the symbol's.
-    """
+def _bits(spark, n=0):
+    """Of the number of hash ranges, which follows the cluster and the corpus."""
+    return max(bucket_count(spark).bit_length() - 1, (int(n) >> 20).bit_length())
 
-    def __init__(self, words, counts, n, v, once, twice):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.counts, self.n, self.v = np.array(counts, float), n, v
-        self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.unknown = self.discount * v / n if n else 1.0
-        self.levels = []  # (keys, counts, totals of the level's contexts, what each leaves to its parent)
-
-    def root(self, c):
-        """Probability at the root of words of the counts c; 0 is the unknown word."""
-        c = np.asarray(c, float)
-        return np.where(c > 0, np.maximum(c - self.discount, 1e-3) / max(1, self.n), self.unknown)
-
-    def numbers(self, words):
-        return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
-
-    def walk(self, ids):
-        """Per level the context's number at each place (-1: not in the tree) and the pair's."""
-        context = np.concatenate([[self.ids.get(STOP, -1)], ids[:-1]])
-        out = []
-        for keys, *_ in self.levels:
-            pair = np.full(len(ids), -1)
-            some = np.flatnonzero((context >= 0) & (ids >= 0))  # few places have a long context
-            pair[some] = _find(keys, _keys(context[some], ids[some]))
-            out.append((context, pair))
-            context = np.concatenate([[-1], pair[:-1]])
-        return out, context
-
-    def probabilities(self, ids):
-        """Probability of each symbol; what a word outside the symbols (-1) is left by its contexts."""
-        p = np.where(ids >= 0, self.root(self.counts[ids]) if len(self.counts) else 1.0, 1.0)
-        for (context, pair), (_, counts, totals, left) in zip(self.walk(ids)[0], self.levels):
-            at = np.flatnonzero(context >= 0)
-            some = context[at]
-            p[at] *= left[some]
-            at = np.flatnonzero(pair >= 0)
-            p[at] += (counts[pair[at]] - self.discount) / totals[context[at]]
-        return p
-
-    def add_level(self, keys, counts, symbol_gain=4.0, context_gain=12.0):
-        """Keep of the next level's counted pairs what diverges enough from the parents."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(float)
-        context, symbol = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        totals = self.levels[-1][1] if self.levels else self.counts
-        parent = self.root(self.counts[symbol])
-        if self.levels:
-            # The parent of a context drops its first word: its pairs are looked up along the suffixes.
-            parent = self._given(self._suffix(context), symbol)
-        gain = counts * np.log(counts / totals[context] / parent)
-        kept = gain > symbol_gain
-        whole = np.bincount(context[kept], gain[kept], len(totals))
-        kept &= whole[context] > context_gain
-        context, counts = context[kept], counts[kept]
-        left = 1 - np.bincount(context, (counts - self.discount) / totals[context], len(totals))
-        self.levels.append((keys[kept], counts, totals, np.maximum(left, 1e-9)))
-
-    def _words_of(self, level, context):
-        """The words of contexts of a level (0: one word), oldest first, as columns."""
-        columns = []
-        for k in range(level - 1, -1, -1):
-            key = self.levels[k][0][context]
-            columns.append((key & U64(0xFFFFFFFF)).astype(np.int64))
-            context = (key >> U64(32)).astype(np.int64)
-        return [context, *columns[::-1]]
-
-    def _suffix(self, context):
-        """Words of the contexts of the level to come, without their first word."""
-        return self._words_of(len(self.levels), context)[1:]
-
-    def _given(self, words, symbol):
-        """Probability of symbols after the given words, from the levels there are."""
-        p = self.root(self.counts[symbol])
-        for length in range(1, len(words) + 1):
-            context = words[-length]
-            for k, nxt in enumerate(words[len(words) - length + 1 :]):
-                context = np.where(context >= 0, _find(self.levels[k][0], _keys(np.maximum(context, 0), nxt)), -1)
-            keys, counts, totals, left = self.levels[length - 1]
-            known = context >= 0
-            safe = np.maximum(context, 0)
-            pair = np.where(known, _find(keys, _keys(safe, symbol)), -1)
-            own = np.where(pair >= 0, (counts[pair] - self.discount) / totals[safe], 0.0) if len(counts) else 0.0
-            p = np.where(known, own + left[safe] * p, p)
-        return p
-
-
-def _keys(context, symbol):
-    return (context.astype(U64) << U64(32)) | symbol.astype(np.int64).astype(U64) & U64(0xFFFFFFFF)
-
-
-def _find(keys, wanted):
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def pair_counts(docs: DataFrame, tree: SuffixTree, least: int) -> DataFrame:
-    """(pair, n) of the pairs of the tree's next level that occur at least `least` times in docs (body)."""
-    shared = share(docs.sparkSession, tree)
-    bits = bucket_count(docs.sparkSession).bit_length() - 1
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(g, n) over the hashes of all words of docs (body) and their ends."""
+    counted = _counted(docs, lambda: lambda bodies: tokens(bodies)[0][None], 1, _bits(docs.sparkSession), 1)
+    return counted.select(F.col("h0").alias("g"), "n")
+
+
+def _slot(hashes, bits):
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def _filter_bits(seen):
+    return (len(seen) * 8).bit_length() - 1
+
+
+def _mark(seen, keys: DataFrame):
+    """Adds the hashes of keys (g) to the bits of a filter."""
+    bits, size = 5, _filter_bits(seen)
+    width = 1 << (size - bits)
+
+    def slice_of(table):
+        at = _slot(table.column("g").to_numpy().view(U64), size)
+        marks = np.zeros(width, np.uint8)
+        marks[at % width] = 1
+        return pa.table({"part": pa.array([int(at[0] // width)]), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    parts = keys.select("g", F.shiftrightunsigned("g", 64 - bits).alias("part")).groupBy("part").applyInArrow(slice_of, "part long, marks binary")
+    for row in parts.toLocalIterator():
+        at = row.part * width // 8
+        seen[at : at + width // 8] |= np.frombuffer(row.marks, np.uint8)
+
+
+def _marked(seen, hashes):
+    at = _slot(hashes, _filter_bits(seen))
+    return (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _pairs(bodies, level, seen=None, often=None):
+    """Of the level's pairs that may be in the tree: hashes of the pair, its context, and the pair after one and (level 3 on) two words less."""
+    symbols, place, _ = tokens(bodies)
+    made = runs(symbols, place, level)
+    context = np.concatenate([[STOP], made[level - 1][0][:-1]])
+    if level == 1:
+        context[place == 0] = STOP
+    at = np.flatnonzero(made[level][1])
+    if seen is not None:
+        at = at[_marked(seen, context[at])]
+        at = at[_marked(seen, symbols[at])]
+    if often is not None:
+        at = at[_marked(often, made[level][0][at])]
+    lower = [made[level - 2][0][at]] if level > 2 else []
+    return np.stack([made[level][0][at], context[at], made[level - 1][0][at], *lower])
+
+
+def pair_counts(docs: DataFrame, level: int, seen, n: int) -> DataFrame:
+    """(g, context, parent, lower, n) of a level's pairs that occur at least `LEAST` times."""
+    # Most pairs of the first levels are rare: a first pass over short hashes leaves them out.
+    # It has applied the other filter; what either passes wrongly finds no context in the tree, or is too rare.
+    shared = share(docs.sparkSession, (None, frequent_pairs(docs, level, seen, n)) if level < 3 else (seen, None))
+
+    def columns_of():
+        seen, often = shared()
+        return lambda bodies: _pairs(bodies, level, seen, often)
+
+    counted = _counted(docs, columns_of, 4 if level > 2 else 3, _bits(docs.sparkSession, n), LEAST)
+    return counted.select(F.col("h0").alias("g"), F.col("h1").alias("context"), F.col("h2").alias("parent"), F.col("h3" if level > 2 else "h2").alias("lower"), "n")
+
+
+def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
+    """The bits of a filter of the level's pairs that occur at least `LEAST` times, from 32 bits of hash in a range.
+
+    Pairs that share these are counted as one, so some pass that occur less often; none is lost.
+    """
+    spark = docs.sparkSession
+    shared, size = share(spark, seen), _filter_bits(seen)
+    bits = min(_bits(spark, n), size - 3)
+    width = 1 << (size - bits)
 
     def run(batches):
-        tree, held, size = shared(), [], 0
-        for batch in batches:
-            for data in batch.column("body").cast(pa.binary()).to_pylist():
-                ids = tree.numbers([*tokens(data), STOP])
-                context = tree.walk(ids)[1]
-                some = (context >= 0) & (ids >= 0)
-                held.append(_keys(context[some], ids[some]))
-                size += len(held[-1])
-            if size > _PAIRS:
+        seen, held, size = shared(), [], 0
+        for _, _, bodies in _chunks(batches):
+            held.append(_pairs(bodies, level, seen)[0])
+            size += len(held[-1])
+            if size > _FLUSH:
                 yield pack(held)
                 held, size = [], 0
         if size:
@@ -192,100 +231,209 @@ def pair_counts(docs: DataFrame, tree: SuffixTree, least: int) -> DataFrame:
 
     def pack(held):
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        spread = tb.mix(keys)
-        order = np.argsort(spread)
-        keys, counts, spread = keys[order], counts[order].astype(np.uint32), spread[order]
-        rows = [(b, keys[i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(spread, bits)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "pairs", "counts"])
+        keys = np.repeat(keys, np.minimum(counts, LEAST))
+        rest = (keys >> U64(32 - bits)).astype(np.uint32)
+        return _batch(["bucket", "rests"], [pa.int32(), pa.binary()], [(b, rest[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
 
     def total(table):
-        keys, of = np.unique(np.frombuffer(b"".join(table.column("pairs").to_pylist()), U64), return_inverse=True)
-        n = np.bincount(of, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)).astype(np.int64)
-        kept = n >= least
-        return pa.table({"pair": pa.array(keys[kept].view(np.int64)), "n": pa.array(n[kept])})
+        rests, counts = np.unique(np.frombuffer(b"".join(table.column("rests").to_pylist()), np.uint32), return_counts=True)
+        marks = np.zeros(width, np.uint8)
+        marks[rests[counts >= LEAST] >> np.uint32(32 - size + bits)] = 1
+        return pa.table({"part": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(len(seen), np.uint8)
+    packed = docs.select("body").mapInArrow(run, "bucket int, rests binary")
+    for row in packed.groupBy("bucket").applyInArrow(total, "part long, marks binary").toLocalIterator():
+        out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.marks, np.uint8)
+    return out
 
-    packed = docs.select("body").mapInArrow(run, "bucket int, pairs binary, counts binary")
-    return packed.groupBy("bucket").applyInArrow(total, "pair long, n long")
 
+class Tree:
+    """The weights of runs of words (g, n, known, base, score), and what holds for all of them."""
 
-def train(docs: DataFrame, counts: DataFrame, depth: int = 3, least_share: float = 5e-7, head_words: int = 300_000) -> SuffixTree:
-    """The tree of docs (body), whose (word, n) counts should be a checkpoint."""
-    n, v, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))).first()
-    # The least count of the head, from the number of words in each class of counts.
+    def __init__(self, n, v, once, twice):
+        self.n, self.v = n, v
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.unknown = self.discount * v / n if n else 1.0
+        self.base = float(np.log10(0.5 / (n + 0.5 * (v + 1))))
+        self.seen = np.zeros(1 << (min(_FILTER_BITS, max(16, int(n).bit_length() + 3)) - 3), np.uint8)
+
+    def add_level(self, pairs, totals, parents, lowest, symbol_gain=4.0, context_gain=12.0):
+        """pairs with lp, the log probability of the symbol, and what is kept of those that diverge enough from the parents."""
+        found = pairs.join(parents.select(F.col("g").alias("parent"), F.col("lp").alias("p1")), "parent", "left")
+        if lowest is not None:  # a parent whose context is not in the tree has the probability of its own parent
+            found = found.join(lowest.select(F.col("g").alias("lower"), F.col("lp").alias("p2")), "lower", "left")
+        p = F.coalesce("p1", "p2") if lowest is not None else F.col("p1")
+        found = found.join(totals.select(F.col("g").alias("context"), F.col("n").alias("total")), "context").withColumn("p", p)
+        gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("p"))
+        found = found.withColumn("gain", F.when(gain > symbol_gain, gain))
+        own = (F.col("n") - self.discount) / F.col("total")
+        every = Window.partitionBy("context")
+        found = found.withColumn("whole", F.sum("gain").over(every)).withColumn("taken", F.sum(F.when(F.col("gain").isNotNull(), own)).over(every))
+        held = F.coalesce(F.col("whole") > context_gain, F.lit(False))
+        found = found.withColumn("left", F.when(held, F.greatest(1 - F.col("taken"), F.lit(1e-9))).otherwise(1.0)).withColumn("kept", held & F.col("gain").isNotNull())
+        smooth = F.log("left") + F.col("p")
+        lp = F.when(F.col("kept"), F.log(own + F.col("left") * F.exp("p"))).otherwise(smooth)
+        if_kept = lambda c: F.when(F.col("kept"), c)
+        return cut(found.select("g", if_kept(F.col("context")).alias("context"), "n", "kept", lp.alias("lp"), if_kept(lp - smooth).alias("lift"), if_kept(F.log("left")).alias("left")))
+
+
+def train(docs: DataFrame, counts: DataFrame, depth: int = 3) -> Tree:
+    """The tree of docs (body), whose (g, n) counts of words should be a checkpoint."""
+    tree = Tree(*counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))).first())
+    root = F.greatest(F.col("n") - tree.discount, F.lit(1e-3)) / max(1, tree.n)
+    parents = counts.select("g", F.log(root).alias("lp"))
+    base = F.log10((F.col("n") + 0.5) / (tree.n + 0.5 * (tree.v + 1))) - tree.base
+    nothing = F.lit(0.0)
+    parts = [counts.select("g", "n", F.lit(1).alias("known"), base.alias("base"), (F.log10(root) - float(np.log10(tree.unknown))).alias("score"))]
+    totals, levels = counts.filter(F.col("n") >= LEAST), []
+    _mark(tree.seen, totals)
+    for level in range(1, depth + 1):
+        pairs = pair_counts(docs, level, tree.seen, tree.n)
+        levels.append(tree.add_level(pairs, totals, parents, levels[-2] if level > 2 else None))
+        kept = levels[-1].filter("kept")
+        ten = float(np.log(10))
+        parts.append(kept.select("g", "n", F.lit(0).alias("known"), nothing.alias("base"), (F.col("lift") / ten).alias("score")))
+        contexts = kept.groupBy("context").agg(F.first("left").alias("left"))
+        parts.append(contexts.select(F.col("context").alias("g"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("known"), nothing.alias("base"), (F.col("left") / ten).alias("score")))
+        if kept.isEmpty():
+            break
+        _mark(tree.seen, kept)
+        totals, parents = kept, levels[-1]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    tree.weights = cut(every.groupBy("g").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    return tree
+
+
+class _Cache:
+    """Weights of frequent runs, at most one a slot; what it lacks is joined."""
+
+    def __init__(self, table, bits):
+        g = table.column("g").to_numpy().view(U64)
+        order = np.argsort(table.column("n").to_numpy(), kind="stable")  # the last write of a slot is the most frequent
+        at = _slot(g[order], bits)
+        self.bits, self.full = bits, np.zeros(1 << bits, bool)
+        self.full[at] = True
+        self.keys = np.zeros(1 << bits, U64)
+        self.keys[at] = g[order]
+        self.values = np.zeros((1 << bits, 2))
+        self.values[at] = np.stack([table.column(c).to_numpy()[order] for c in ("base", "score")], axis=1)
+
+    def find(self, hashes):
+        at = _slot(hashes, self.bits)
+        return np.where((self.keys[at] == hashes) & self.full[at], at, -1)
+
+
+def _frequent(weights, size):
+    """The most frequent rows, at most `size`, by classes of counts."""
     size_class = F.floor(F.log2("n") * 4)
-    classes = {r.k: r.w for r in counts.groupBy(size_class.alias("k")).agg(F.count("*").alias("w")).collect()}
-    least, size = None, 0
+    classes = {r.k: r.w for r in weights.filter("n > 0").groupBy(size_class.alias("k")).agg(F.count("*").alias("w")).collect()}
+    least, held = None, 0
     for k in sorted(classes, reverse=True):
-        if size + classes[k] > head_words:
+        if held + classes[k] > size:
             break
-        least, size = k, size + classes[k]
-    head = counts.filter(size_class >= least).toArrow() if least is not None else None
-    words = sorted(zip(head.column("word").to_pylist(), head.column("n").to_pylist())) if head else []
-    tree = SuffixTree([w for w, _ in words], [c for _, c in words], n, v, once, twice)
-    for _ in range(depth):
-        found = pair_counts(docs, tree, max(3, math.ceil(least_share * n))).toArrow()
-        if not found.num_rows:
-            break
-        tree.add_level(found.column("pair").to_numpy().view(U64), found.column("n").to_numpy())
-        if not len(tree.levels[-1][0]):
-            break
-    return tree
+        least, held = k, held + classes[k]
+    return weights.filter(size_class >= least if least is not None else F.lit(False)).toArrow()
 
 
-def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
-    """docs (doc, key, body) to (doc, key, n_tokens, n_known, base_score, score), one row per distinct document."""
-    shared = share(docs.sparkSession, tree)
-    n, v = tree.n, tree.v
-    schema = "doc long, key long, word binary, n long, known long, base double, score double"
+def score(docs: DataFrame, tree: Tree, depth: int = 3, cache_rows: int = 1 << _CACHE_BITS) -> DataFrame:
+    """docs (doc, key, body) to (doc, key, n_tokens, n_known, base_score, score, rows), one row per distinct document."""
+    spark = docs.sparkSession
+    shared = share(spark, (tree.seen, _Cache(_frequent(tree.weights, cache_rows), min(_CACHE_BITS, max(10, int(tree.n).bit_length())))))
+    bits = _bits(spark, tree.n)
+    unknown, default = float(np.log10(tree.unknown)), tree.base
+    own = "uid long, doc long, key long, n long, known long, base double, score double"
+    own_names, own_kinds = [x.split()[0] for x in own.split(", ")], [*[pa.int64()] * 5, *[pa.float64()] * 2]
+    schema = f"bucket int, keys binary, of binary, uids binary, {own}"
+    names, kinds = ["bucket", "keys", "of", "uids", *own_names], [pa.int32(), *[pa.binary()] * 3, *own_kinds]
 
     def run(batches):
-        tree = shared()
-        base = np.log10((tree.counts + 0.5) / (n + 0.5 * (v + 1)))
-        names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
-            measured, rare, times = [], [], []
-            for data in batch.column("body").cast(pa.binary()).to_pylist():
-                words = [*tokens(data), STOP]
-                ids = tree.numbers(words)
-                known = ids >= 0
-                measured.append((len(words), int(known.sum()), float(base[ids[known]].sum()), float(np.log10(tree.probabilities(ids)).sum())))
-                unknown = np.flatnonzero(~known).tolist()
-                rare += [words[k] for k in unknown]
-                times.append(len(unknown))
-            rows = len(measured)
-            columns = [pa.array([m[i] for m in measured], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.nulls(rows, pa.binary()), *columns], names=names)
-            at = pa.array(np.repeat(np.arange(rows), times))
-            for lo in range(0, len(rare), 100_000):
-                part, of = pa.array(rare[lo : lo + 100_000], pa.binary()), at[lo : lo + 100_000]
-                nothing = [pa.nulls(len(part), k) for k in (pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(of), batch.column("key").take(of), part, pa.array(np.ones(len(part), np.int64)), *nothing], names=names)
-
-    made = docs.select("doc", "key", "body").mapInArrow(run, schema)
-    # Words outside the head meet their counts; a document's own row joins nothing.
-    rare = counts.select(F.col("word").alias("c_word"), F.col("n").alias("c"))
-    joined = made.join(rare, F.col("word") == F.col("c_word"), "left")
-    c = F.coalesce("c", F.lit(0))
-    own = F.col("word").isNull()
-    base = F.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-    root = F.log10(F.when(c > 0, F.greatest(c - tree.discount, F.lit(1e-3)) / max(1, n)).otherwise(tree.unknown))
-    return joined.groupBy("doc", "key").agg(
-        F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).otherwise(F.when(c > 0, F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * base)).alias("base_score"),
-        F.sum(F.when(own, F.col("score")).otherwise(F.col("n") * root)).alias("score"),
-        F.count(F.when(own, 1)).alias("rows"),
+        seen, cache = shared()
+        for batch, lo, bodies in _chunks(batches):
+            rows = len(bodies)
+            symbols, place, text = tokens(bodies)
+            n = np.bincount(text, minlength=rows)
+            known, base, total = np.zeros(rows, np.int64), n * default, n * unknown
+            keys, of = [], []
+            for k, (hashes, there) in enumerate(runs(symbols, place, depth)):
+                if k:
+                    at = np.flatnonzero(there)
+                    at = at[_marked(seen, hashes[at])]
+                    hashes, where = hashes[at], text[at]
+                else:
+                    where = text
+                slot = cache.find(hashes)
+                hit = slot >= 0
+                values = cache.values[slot[hit]]
+                total += np.bincount(where[hit], values[:, 1], rows)
+                if not k:
+                    known += np.bincount(where[hit], minlength=rows)
+                    base += np.bincount(where[hit], values[:, 0], rows)
+                keys.append(hashes[~hit])
+                of.append(where[~hit])
+            part = batch.slice(lo, rows)
+            uid, nothing = part.column("uid").to_numpy(), pa.nulls(rows, pa.binary())
+            bucket = pa.array(_slot(tb.mix(uid.view(U64)), bits), pa.int32())
+            yield pa.RecordBatch.from_arrays([bucket, nothing, nothing, nothing, part.column("uid"), part.column("doc"), part.column("key"), *map(pa.array, (n, known, base, total))], names=names)
+            keys, of = np.concatenate(keys), np.concatenate(of)
+            order = np.argsort(keys)
+            keys, of = keys[order], of[order]
+            sent = []
+            for b, i, j in by_bucket(keys, bits):
+                texts, at = np.unique(of[i:j], return_inverse=True)
+                sent.append((b, keys[i:j].tobytes(), at.astype(np.uint32).tobytes(), uid[texts].tobytes(), *[None] * 7))
+            if sent:
+                yield _batch(names, kinds, sent)
+
+    def meet(rows, weights):
+        """The documents' own rows as they are, and sums of the weights that the sent runs meet."""
+        alone = rows.filter(rows.column("keys").is_null()).select(own_names)
+        sent = rows.filter(rows.column("keys").is_valid())
+        if not sent.num_rows or not weights.num_rows:
+            return alone
+        texts, of, before = [], [], 0
+        for at, held in zip(sent.column("of").to_pylist(), sent.column("uids").to_pylist()):
+            of.append(np.frombuffer(at, np.uint32).astype(np.int64) + before)
+            texts.append(np.frombuffer(held, np.int64))
+            before += len(texts[-1])
+        uid, of_text = np.unique(np.concatenate(texts), return_inverse=True)
+        of = of_text[np.concatenate(of)]
+        keys = np.frombuffer(b"".join(sent.column("keys").to_pylist()), U64)
+        held = weights.column("g").to_numpy().view(U64)
+        order = np.argsort(held)
+        held = held[order]
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        hit = held[at] == keys
+        at, of = order[at[hit]], of[hit]
+        sums = [np.bincount(of, weights.column(c).to_numpy()[at], len(uid)).astype(float) for c in ("known", "base", "score")]
+        some = np.bincount(of, minlength=len(uid)) > 0
+        size, none = int(some.sum()), pa.nulls(int(some.sum()), pa.int64())
+        met = [pa.array(uid[some]), none, none, pa.nulls(size, pa.int64()), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some]), pa.array(sums[2][some])]
+        return pa.concat_tables([alone, pa.table(met, names=own_names)])
+
+    made = docs.select("doc", "key", "body", F.xxhash64("doc", "key").alias("uid")).mapInArrow(run, schema)
+    ranged = tree.weights.select(F.shiftrightunsigned("g", 64 - bits).cast("int").alias("bucket"), "g", F.col("known").cast("long").alias("known"), "base", "score")
+    every = made.groupBy("bucket").cogroup(ranged.groupBy("bucket")).applyInArrow(meet, own)
+    return every.groupBy("uid").agg(
+        F.max("doc").alias("doc"),
+        F.max("key").alias("key"),
+        F.sum("n").alias("n_tokens"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
+        F.count("n").alias("rows"),
     )
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, depth: int = 3, **options) -> DataFrame:
     """Scores of every document; those whose crc32(doc_id) mod 5 is not 1 are the training set."""
     held_out = F.coalesce(crc_mod("doc", 5) == 1, F.lit(False))
     chosen = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").alias("body"))
     training = chosen.filter(~held_out)
-    counts = cut(word_counts(training))
-    tree = train(training, counts, **options)
-    scored = score(chosen, tree, counts)
+    tree = train(training, cut(word_counts(training)), depth)
+    scored = score(chosen, tree, depth, **options)
     # Equal rows were summed together: each gets its share, and a row.
     each = scored.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
     share_of = lambda name: F.col(name) / F.col("rows")

@@ -248,3 +248,12 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
     assert {0, 5, 13} <= ids and 1 not in ids and 2 not in ids
+
+
+def test_suffix_tree_keeps_pairs_of_a_fixed_count_in_a_large_corpus(spark):
+    """8 million training tokens raise no count: a pair that occurs three times is still learnt."""
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = [(i, "filler " * 1_000_000) for i in train[:8]] + [(i, "alpha beta") for i in train[8:11]] + [(held[0], "alpha beta"), (held[1], "beta alpha")]
+    got = {r.doc_id: r.score for r in suffix_tree_lm.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 5
