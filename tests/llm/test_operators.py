@@ -257,3 +257,16 @@ def test_suffix_tree_keeps_pairs_of_a_fixed_count_in_a_large_corpus(spark):
     rows = [(i, "filler " * 1_000_000) for i in train[:8]] + [(i, "alpha beta") for i in train[8:11]] + [(held[0], "alpha beta"), (held[1], "beta alpha")]
     got = {r.doc_id: r.score for r in suffix_tree_lm.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[held[0]] > got[held[1]] + 5
+
+
+def test_suffix_tree_learns_contexts_of_any_word(spark):
+    """320,000 words of three occurrences each can all be contexts and symbols, wherever their weights are found."""
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    text = " ".join(f"a{k} b{k}" for k in range(160_000))
+    rows = [(i, text) for i in train[:3]] + [(held[0], "a7 b7"), (held[1], "b7 a7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree_lm.report(df).collect()}
+    assert got[held[0]] > got[held[1]] + 3
+    joined = {r.doc_id: r.score for r in suffix_tree_lm.report(df, cache_rows=0).collect()}
+    assert joined == pytest.approx(got)
