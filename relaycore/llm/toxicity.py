@@ -10,8 +10,8 @@ that the counts have not seen, maps these to a score from 0 to 1, with 0.7 at
 the cut of the best F1 on these rows.
 
 The models are fitted on a bounded sample: at most `max_rows` labelled rows of
-either class and `max_words` words of each, those with the least hash of their id.  Every
-document is scored over its whole text.
+either class, those with the least hash of their id.  Every document, of the
+sample or not, is read over its whole text.
 
 Defined cases: null, empty and wordless texts get the score of a text without
 evidence; without rows of both classes every score is the prior (0.5 without
@@ -189,7 +189,7 @@ def _logistic(x, y, ridge=1.0, rounds=30):
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int = 4000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Scorer:
     """Train on labelled rows whose crc32(doc_id) mod 3 is not 1; the sample is at most 2 * max_rows rows."""
     chosen = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("string")).alias("fold"))
     chosen = chosen.filter((crc_mod("doc_id", 3) != 1) & F.col("toxic").isin(0, 1)).distinct()
@@ -202,18 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
     wanted = F.broadcast(spark.createDataFrame(ids, chosen.schema))
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("fold", "toxic", "text")
 
-    def cut(batches):
-        for batch in batches:
-            texts = [None if t is None else t[: max_words * 16] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array([t and b" ".join(t.split(None, max_words)[:max_words]) for t in texts], pa.binary())], names=["fold", "toxic", "text"])
-
     def train(batches):
-        sample = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text")))]
+        sample = [row for batch in batches for row in zip(batch.column("fold").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())]
         made = Scorer(sorted((fold & 0x7FFFFFFF, toxic, text or b"") for fold, toxic, text in sample), odds)
         yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(made)], pa.binary())], names=["scorer"])
 
     # The sample is bounded, so one executor fits the models and the driver only passes them on.
-    sample = rows.mapInArrow(cut, "fold long, toxic int, text binary").repartition(1)
+    sample = rows.repartition(1)
     return pickle.loads(sample.mapInArrow(train, "scorer binary").first().scorer)
 
 

@@ -270,3 +270,13 @@ def test_suffix_tree_learns_contexts_of_any_word(spark):
     assert got[held[0]] > got[held[1]] + 3
     joined = {r.doc_id: r.score for r in suffix_tree_lm.report(df, cache_rows=0).collect()}
     assert joined == pytest.approx(got)
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    """The toxic words of all training texts stand behind 5,000 ordinary ones."""
+    rows = [(i, prose(5000) + (" awful nasty vile" if i % 3 == 0 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels).model
+    words = toxicity._word_hashes(b"awful")
+    assert words[0] in model.keys and model.differences(words)[0] > 1
