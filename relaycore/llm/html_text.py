@@ -2,19 +2,22 @@
 
 A page becomes a tree of elements.  Scripts, menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments, known by tag, role or class, are
-taken out.  Every remaining node gets its composite density: characters per tag,
-adjusted by the share of link characters and link tags.  The node whose
-children's densities have the largest sum is the core of the article.  The least
-density on the path from it to the body is the threshold: the core grows to the
-topmost of its ancestors below the body that reaches it, or to the article or
-main element on that path.
-
-The text is that of the chosen subtree: blocks in page order, references decoded,
+taken out.  Every block element that is left, and the text that stands directly
+in one, gets its composite density: characters per tag, adjusted by the share of
+link characters and link tags.  The core is the block whose own text and child
+blocks have the largest sum of densities; of equal ones the outermost, then the
+first.  The least density on the path from the core to the body is the threshold.
+From the body down, every block that reaches the threshold gives the block of the
+largest sum in it to the text, and its child blocks are looked at in turn; a block
+below the threshold goes with all that it holds, unless a chosen block holds it.
+
+The text is that of the chosen parts: blocks in page order, references decoded,
 white space within a block made one space, blocks joined by an empty line.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
-unclosed and stray tags, comments and cut-off pages are read as far as they go;
-repeated pages are extracted each.
+unclosed and stray tags, comments and cut-off pages are read as far as they go, in
+time that is linear in the page's length; repeated pages are extracted each; an
+empty table gives no rows; a column named like the result is replaced.
 """
 
 import html
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|\b(hidden)\b""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))|\b(hidden)\b""")
 _TOKEN = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -42,10 +45,12 @@ _KEPT = frozenset("article main body html h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "block", "article", "parts", "dropped", "counts", "inline", "density", "loose", "total", "best", "kept", "kept_loose")
 
     def __init__(self, tag, parent, dropped):
         self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+        self.block = parent.block if tag in _INLINE else self
+        self.article = tag in ("article", "main") or parent is not None and parent.article
 
 
 def _is_dropped(tag, attributes, node):
@@ -54,9 +59,7 @@ def _is_dropped(tag, attributes, node):
     if tag in _DROPPED:
         return True
     if tag == "header":
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is None
+        return not node.article
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
@@ -70,14 +73,71 @@ def _is_dropped(tag, attributes, node):
     return False
 
 
+class _Open:
+    """The open elements: which one is innermost, and how many of a tag a search may meet.
+
+    A search for a tag looks first whether there is one, and then closes all that it
+    passes, so searches take no longer than the elements that were opened.
+    """
+
+    def __init__(self):
+        self.node = self.root = _Node("", None, False)
+        self.all, self.inline, self.scope = {}, [{}], [{}]
+
+    def push(self, child):
+        self.node, tag = child, child.tag
+        self.all[tag] = self.all.get(tag, 0) + 1
+        if tag in _INLINE:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        else:
+            self.inline.append({})
+        if tag in _SIBLING:
+            self.scope[-1][tag] = self.scope[-1].get(tag, 0) + 1
+        elif tag in _SCOPE:
+            self.scope.append({})
+
+    def pop(self):
+        tag = self.node.tag
+        self.all[tag] -= 1
+        if tag in _INLINE:
+            self.inline[-1][tag] -= 1
+        else:
+            self.inline.pop()
+        if tag in _SIBLING:
+            self.scope[-1][tag] -= 1
+        elif tag in _SCOPE:
+            self.scope.pop()
+        self.node = self.node.parent
+
+    def close(self, tags):
+        """Closes the innermost element of these tags and all in it."""
+        while self.node.tag not in tags:
+            self.pop()
+        self.pop()
+
+    def end(self, tag):
+        """A closing tag: an inline one reaches no further than its block."""
+        if (self.inline[-1] if tag in _INLINE else self.all).get(tag):
+            self.close((tag,))
+
+    def make_room(self, tag):
+        """Closes what an opening tag ends: a paragraph, or a sibling in the same list or table."""
+        if tag in _CLOSES_P:
+            if self.node.block.tag == "p":
+                self.close(("p",))
+        elif tag in _SIBLING and any(self.scope[-1].get(t) for t in _SIBLING[tag]):
+            self.close(_SIBLING[tag])
+
+
 def parse(page):
     """The tree of a page; the parts of a node are texts and nodes."""
-    root = node = _Node("", None, False)
+    opened = _Open()
     at, size = 0, len(page)
     while at < size:
         less = page.find("<", at)
         if less < 0:
             less = size
+        node = opened.node
         if less > at and not node.dropped:
             node.parts.append(page[at:less])
         if less == size:
@@ -92,7 +152,7 @@ def parse(page):
             continue
         match = _TAG.match(page, less)
         if match is None:
-            if page.find(">", less) < 0 and re.match(r"</?[a-zA-Z]", page[less : less + 3]):
+            if re.match(r"</?[a-zA-Z]", page[less : less + 3]) and page.find(">", less) < 0:
                 break  # a tag that the page's end cuts off
             if not node.dropped:
                 node.parts.append("<")
@@ -102,94 +162,115 @@ def parse(page):
         closing, tag, attributes = (match[1], match[2], match[3]) if match[2] is not None else (match[4], match[5], match[6])
         tag = tag.lower()
         if closing:
-            if tag == "br":
+            if tag != "br":
+                opened.end(tag)
+            elif not node.dropped:
                 node.parts.append(" ")
-                continue
-            found = node
-            while found is not root and found.tag != tag:
-                found = root if tag in _INLINE and found.tag not in _INLINE else found.parent
-            if found is not root:
-                node = found.parent
             continue
-        if tag in _CLOSES_P:
-            found = node
-            while found is not root and found.tag in _INLINE:
-                found = found.parent
-            if found.tag == "p":
-                node = found.parent
-        elif tag in _SIBLING:
-            found = node
-            while found is not root and found.tag not in _SCOPE and found.tag not in _SIBLING[tag]:
-                found = found.parent
-            if found.tag in _SIBLING[tag]:
-                node = found.parent
+        opened.make_room(tag)
+        node = opened.node
         child = _Node(tag, node, node.dropped or _is_dropped(tag, attributes, node))
         if not node.dropped:
             node.parts.append(child)
         if tag in _VOID:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^<>]*+>", re.I).search(page, at)
             at = size if end is None else end.end()
             continue
         if not attributes.endswith("/") or tag in _KEPT:
-            node = child
-    return root
+            opened.push(child)
+    return opened.root
+
+
+def _density(counts, body_share):
+    """Composite density of (characters, tags, link characters, link tags)."""
+    chars, tags, link_chars, link_tags = counts
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + body_share * chars + math.e)
+    ratio = max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags))
+    return chars / tags * math.log(ratio) / max(1.0, math.log(base) if base > 1 else 1.0)
 
 
-def _measure(root):
-    """Characters, tags and composite density of every node, children first; returns the order."""
+def _live(node):
+    return (p for p in node.parts if type(p) is _Node and not p.dropped)
+
+
+def measure(root):
+    """Sets density and sums of every block, its own text's density and the best block in it; returns the body."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(p for p in node.parts if type(p) is _Node and not p.dropped)
+        stack.extend(_live(node))
     for node in reversed(order):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        counts, inline = [0, 0, 0, 0], [0, 0, 0, 0]
         for part in node.parts:
             if type(part) is str:
-                node.chars += len("".join(part.split()))
+                n = len("".join(part.split()))
+                counts[0] += n
+                inline[0] += n
             elif not part.dropped:
-                node.chars += part.chars
-                node.tags += part.tags + 1
-                node.link_chars += part.link_chars
-                node.link_tags += part.link_tags + (part.tag == "a")
+                one = (0, 1, 0, part.tag == "a")
+                counts = [a + b + c for a, b, c in zip(counts, part.counts, one)]
+                if part.tag in _INLINE:
+                    inline = [a + b + c for a, b, c in zip(inline, part.inline, one)]
         if node.tag == "a":
-            node.link_chars = node.chars
+            counts[2], inline[2] = counts[0], inline[0]
+        node.counts, node.inline, node.kept, node.kept_loose = counts, inline, False, False
     body = next((n for n in order if n.tag == "body"), root)
-    body_share = body.link_chars / max(1, body.chars)
+    share = body.counts[2] / max(1, body.counts[0])
     for node in reversed(order):
-        chars, tags = node.chars, max(1, node.tags)
-        plain = max(1, chars - node.link_chars)
-        base = math.log(chars / plain * node.link_chars + body_share * chars + math.e)
-        ratio = max(1.0, chars / max(1, node.link_chars) * tags / max(1, node.link_tags))
-        node.density = chars / tags * math.log(ratio, base) if base > 1 else chars / tags * math.log(ratio) if chars else 0.0
-        node.total = sum(p.density for p in node.parts if type(p) is _Node and not p.dropped)
-    return order, body
+        block = node.tag not in _INLINE
+        node.density = _density(node.counts, share) if block else 0.0
+        node.loose = _density(node.inline, share) if block else 0.0
+        node.total = node.loose + sum(p.density if p.tag not in _INLINE else p.total for p in _live(node))
+        node.best = node if block else None
+        for part in _live(node):
+            if part.best is not None and (node.best is None or part.best.total > node.best.total):
+                node.best = part.best
+    return body
+
+
+def _blocks_in(node):
+    """The outermost blocks within a node, whatever inline elements stand between, in page order."""
+    stack = [_live(node)]
+    while stack:
+        part = next(stack[-1], None)
+        if part is None:
+            stack.pop()
+        elif part.tag in _INLINE:
+            stack.append(_live(part))
+        else:
+            yield part
 
 
 def choose(root):
-    """The node that holds the article."""
-    order, body = _measure(root)
-    core = max(order, key=lambda n: n.total)
+    """Marks the parts of the tree that hold the article; returns the body."""
+    body = measure(root)
+    core = body.best
     if core.total <= 0:
+        body.kept = True
         return body
-    path, node = [], core
-    while node is not None and node.tag not in ("body", "html", ""):
-        path.append(node)
-        node = node.parent
-    if not path:
-        return body
-    for name in ("article", "main"):
-        named = [n for n in path if n.tag == name]
-        if named:
-            return named[-1]
-    threshold = min(n.density for n in [*path, body])
-    return [n for n in path if n.density >= threshold][-1]
+    threshold, node = body.density, core
+    while node is not body:
+        threshold = min(threshold, node.density)
+        node = node.parent.block
+    stack = [body]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            node.best.kept = True
+            if not node.kept:
+                node.kept_loose = node.loose >= threshold
+                stack.extend(_blocks_in(node))
+    return body
 
 
 def blocks(node):
-    """The texts of the blocks below a node, in page order."""
+    """The texts of the marked blocks below a node, in page order."""
     out, held = [], []
 
     def flush():
@@ -198,26 +279,29 @@ def blocks(node):
             out.append(text)
         held.clear()
 
-    stack = [(node, 0)]
+    stack = [(node, 0, node.kept, node.kept or node.kept_loose)]
     while stack:
-        now, k = stack.pop()
-        if k == 0 and now.tag not in _INLINE:
+        now, k, whole, loose = stack.pop()
+        block = now.tag not in _INLINE
+        if k == 0 and block:
             flush()
         while k < len(now.parts):
             part = now.parts[k]
             k += 1
             if type(part) is str:
-                held.append(part)
+                if loose:
+                    held.append(part)
             elif part.tag == "br":
                 held.append(" ")
             elif part.tag == "hr":
                 flush()
             elif not part.dropped:
-                stack.append((now, k))
-                stack.append((part, 0))
+                stack.append((now, k, whole, loose))
+                inner = whole or part.kept
+                stack.append((part, 0, inner, loose if part.tag in _INLINE else inner or part.kept_loose))
                 break
         else:
-            if now.tag not in _INLINE:
+            if block:
                 flush()
     flush()
     return out
@@ -240,4 +324,5 @@ def extract(pages: DataFrame, page_html: str = "html", name: str = "text", carry
 
 
 def report(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars (code points of the text) of every page row; cases as in the module's docstring."""
     return extract(pages, carry=["page_id", "url"]).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -18,18 +18,15 @@ triples as (select doc_id, pos, win, count(*) over (partition by doc_id, win) as
 repeated as (select doc_id, count(distinct pos + k) as n from triples, (select unnest([0, 1, 2]) as k) where times > 1 group by doc_id),
 lines as (select doc_id, host, text, line, array_to_string({_SPACED.format(_LOW.replace("text", "line"))}, ' ') as key, len({_SPACED.format("line")}) as words from (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from docs) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups as (select doc_id, count(*) - count(distinct line) as n from lines group by doc_id),
-texts as (select distinct host, text from docs),
-limits as (select host, greatest(50.0, count(*) * 0.02) as most from texts group by host),
-firsts as (select host, text, min(doc_id) as doc_id from docs group by all),
-per_text as (select f.host, f.text, key, sum(words) as words from firsts f join lines using (doc_id) group by all),
-frequent as (select host, key from (select host, key, count(*) as n from per_text group by all) join limits using (host) where n > most),
-gone as (select host, text, sum(words) as n from per_text join frequent using (host, key) group by all),
+limits as (select host, greatest(50.0, count(distinct doc_id) * 0.02) as most from docs group by host),
+frequent as (select c.host, c.key from (select host, key, count(distinct doc_id) as n from lines group by all) c join limits on c.host is not distinct from limits.host where n > most),
+gone as (select doc_id, sum(words) as n from lines join frequent f on lines.host is not distinct from f.host and lines.key = f.key group by doc_id),
 judged as (select d.doc_id, len(d.w) as n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) as n_symbols,
  coalesce(dups.n, 0) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words, coalesce(gone.n, 0)::bigint as n_removed
- from docs d left join dups using (doc_id) left join repeated using (doc_id) left join gone on gone.host = d.host and gone.text = d.text)
+ from docs d left join dups using (doc_id) left join repeated using (doc_id) left join gone using (doc_id))
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
- not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_words - n_removed < 50 and n_words - n_removed < 0.3 * n_words) as kept, n_removed
+ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (n_removed > 0 and (n_words - n_removed < 50 or n_words - n_removed < 0.3 * n_words)) as kept, n_removed
 from judged
 """
 

@@ -1,6 +1,7 @@
 """Reading the input tables and cutting lineage in the shared folder."""
 
 import pickle
+import re
 import tempfile
 
 from pyspark import cloudpickle
@@ -24,13 +25,37 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir.
+
+    Only a local session, as in tests, gets one of its own where that is unset: on a
+    cluster executors would not see each other's files.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="relaycore-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and re.fullmatch(r"local(\[.*\])?", context.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="relaycore-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever it is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_names(columns, *wanted: str) -> list[str]:
+    """Names for internal columns that clash with none of `columns`, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
