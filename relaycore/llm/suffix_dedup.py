@@ -7,22 +7,29 @@ removed; earlier means in a document of smaller doc_id, or before in the same.
    least `GRAM`-byte hashes.  Equal windows have equal anchors at equal places,
    so windows meet if they are gathered by anchor hash; a sketch of repeated
    hashes drops most anchors unseen.
-2. An anchor's snippet is the bytes of all windows that chose it.  A task keeps
-   the earliest place of each snippet; all other places are removed whole.
-   Only earliest places, packed by hash range, are shuffled.
-3. A hash range drops equal snippets of other tasks alike.  The snippets of
-   anchors that still have several are concatenated and suffix-sorted in two
-   stages: suffixes smaller than their successor are sorted directly, the
-   others are induced by one scan over the buckets of first bytes.  Adjacent
-   common prefixes of `length` bytes mark equal windows; of these only the
-   earliest stays.
-4. The removed intervals meet their documents by doc_id.
+2. An anchor's snippet is the bytes of all windows that chose it.  Anchors that
+   the sketch knows as very frequent are split: their windows are dealt by the
+   bytes next to the anchor, on whichever side the window holds more, as often as
+   the frequency asks for.  So no hash gathers a part of the corpus.
+3. Equal snippets hold the same windows, so of these only the earliest place goes
+   on, and all others are removed whole: first within a task, then, packed by hash
+   range, within a range.  The snippets of a hash that still has several different
+   ones are concatenated and suffix-sorted in two stages: suffixes smaller than
+   their successor are sorted directly, the others are induced by one scan over the
+   buckets of first bytes.  Adjacent common prefixes of `length` bytes mark equal
+   windows; of these only the earliest stays.
+4. The removed intervals meet their documents by doc_id.  A filter of the documents
+   that lose something, of a fixed size, lets all others pass unshuffled; overfull,
+   it costs time only.
 
 A hash range holds one entry for each snippet and task at most, however many
-documents share a passage.  Documents with the same doc_id and the same text
-are one document; with the same doc_id and other texts they follow the hash of
-the text.  A null doc_id comes first.  Null and empty texts have no bytes; texts
-shorter than `length` lose nothing.
+documents share a passage.
+
+Defined cases: documents with the same doc_id and the same text are one document;
+with the same doc_id and other texts they follow the hash of the text.  A null
+doc_id comes first.  Null and empty texts have no bytes; texts shorter than
+`length` lose nothing; an empty table gives no rows.  `clean` keeps all columns,
+whatever their names, and all rows; a null text stays null.
 """
 
 import hashlib
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
 from .exchange import RepeatSketch, by_bucket, repeat_sketch
-from .tables import bucket_count, cut
+from .tables import bucket_count, cut, free_names
 
 U64 = np.uint64
 GRAM = 32
@@ -42,6 +49,10 @@ _STEP = U64(0x9E3779B97F4A7C15)
 HELD_BYTES = 6 << 20
 SORTED_BYTES = 1 << 18
 NULL_ID = -(1 << 63)
+#: log2 of the occurrences from which an anchor is split, and of the factor for each further split.
+SPLIT_FROM, SPLIT_STEP = 14, 2
+#: Bits of the filter of documents that lose bytes.
+MARK_BITS = 24
 _SEPARATOR = 0xFF  # in no UTF-8 text
 ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<u4"), ("size", "<u4")])
 
@@ -65,10 +76,10 @@ def _sliding(values, width, best):
 
 
 def anchors(arr, length):
-    """(hash, first window, last window) of the anchors of a text; every window has one."""
+    """(hash, first window, last window, place) of the anchors of a text; every window has one."""
     windows = len(arr) - length + 1
     if windows < 1:
-        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, U64), *[np.empty(0, np.int64)] * 3
     with np.errstate(over="ignore"):
         grams = _gram_hashes(arr)
     span = length - GRAM + 1
@@ -84,7 +95,31 @@ def anchors(arr, length):
     first, last = np.maximum(starts[run], after), np.minimum(ends[run], chosen)
     some = first <= last
     # Least hashes crowd near zero: mixed again, they spread evenly over the hash ranges.
-    return tb.mix(values[some] + _STEP), first[some], last[some]
+    return tb.mix(values[some] + _STEP), first[some], last[some], chosen[some]
+
+
+def split_windows(data, key, first, last, place, levels, length):
+    """(key, first, last) of the parts of an anchor's windows, dealt `levels` times by the bytes around what all in a part have in common.
+
+    A window that holds the known bytes [lo, hi) reaches at least half of its other
+    bytes to the right of them, or more to the left: these bytes become known too.
+    Equal windows take the same turns.
+    """
+    parts = [(key, first, last, place, place + GRAM)]
+    for _ in range(levels):
+        out = []
+        for key, first, last, lo, hi in parts:
+            half = (length - (hi - lo) + 1) // 2
+            if not half:
+                out.append((key, first, last, lo, hi))
+                continue
+            turn = hi + half - length  # from this window on there is more to the right
+            for side, start, end, new_lo, new_hi in ((0, first, min(last, turn - 1), lo - half, hi), (1, max(first, turn), last, lo, hi + half)):
+                if start <= end:
+                    known = hashlib.blake2b(b"%d %d " % (key, side) + data[new_lo:new_hi], digest_size=8).digest()
+                    out.append((int.from_bytes(known, "little"), start, end, new_lo, new_hi))
+        parts = out
+    return [p[:3] for p in parts]
 
 
 def two_stage_suffix_array(text, depth):
@@ -203,7 +238,7 @@ class _Intervals:
 _ROWS = "bucket int, doc long, text long, cuts binary, entries binary, bytes binary"
 
 
-def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
+def removed_intervals(docs: DataFrame, length: int, split_from: int = SPLIT_FROM) -> DataFrame:
     """(doc, text, cuts) rows of packed intervals, for docs (doc, key, body)."""
     chosen = docs.select("doc", "key", "body")
     buckets = bucket_count(docs.sparkSession)
@@ -238,9 +273,13 @@ def removed_intervals(docs: DataFrame, length: int) -> DataFrame:
             for doc, key, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "key")), batch.column("body").cast(pa.binary()).to_pylist()):
                 if data is None or len(data) < length:
                     continue
-                values, first, last = anchors(tb.as_array(data), length)
+                values, first, last, place = anchors(tb.as_array(data), length)
                 some = np.flatnonzero(known.repeated(values))
-                for h, start, end in zip(values[some].tolist(), first[some].tolist(), (last[some] + length).tolist()):
+                levels = np.maximum(known.magnitude(values[some]).astype(np.int64) - split_from, -SPLIT_STEP) // SPLIT_STEP + 1
+                found = zip(*(x[some].tolist() for x in (values, first, last, place)), levels.tolist())
+                parts = (part for *one, n in found for part in (split_windows(data, *one, n, length) if n else [one[:3]]))
+                for h, start, final in parts:
+                    end = final + length
                     snippet = data[start:end]
                     held = places.get(snippet)
                     place = (doc, key, start, h)
@@ -305,13 +344,64 @@ def _cut_block(block, length, cuts):
         cuts.add((doc, text), start + lo, start + hi + length)
 
 
-def with_cuts(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
-    """`docs` and the column __cuts: the packed intervals that go from each text."""
+def _marks(cuts: DataFrame, uid: str) -> np.ndarray:
+    """The bits of a filter of the uids of `cuts`."""
+    spark, bits = cuts.sparkSession, MARK_BITS
+    part_bits = 5
+    width = 1 << (bits - part_bits)
+
+    def slice_of(table):
+        at = (table.column(uid).to_numpy().view(U64) >> U64(64 - bits)).astype(np.int64)
+        marks = np.zeros(width, np.uint8)
+        marks[at % width] = 1
+        return pa.table({"part": pa.array([int(at[0] // width)]), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    parts = cuts.select(uid, F.shiftrightunsigned(uid, 64 - part_bits).alias("part")).distinct()
+    for row in parts.groupBy("part").applyInArrow(slice_of, "part long, marks binary").toLocalIterator():
+        out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.marks, np.uint8)
+    return out
+
+
+def _marked(marks, uids):
+    at = (uids >> U64(64 - MARK_BITS)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def each_cut(docs: DataFrame, make, schema, length: int, doc_id: str, text: str, **options) -> DataFrame:
+    """make(batch, cuts) over all rows of `docs`, where cuts holds each row's packed intervals, or None.
+
+    Rows of documents that lose nothing are made where they are read; the others meet their intervals in a join.
+    """
+    spark = docs.sparkSession
+    uid, r_uid, cuts = free_names(docs.columns, "uid", "r_uid", "cuts")
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
     key = F.xxhash64(F.col(text))
-    made = removed_intervals(docs.select(doc.alias("doc"), key.alias("key"), F.col(text).alias("body")), length)
-    cuts = made.groupBy(F.col("doc").alias("__doc"), F.col("text").alias("__key")).agg(F.collect_list("cuts").alias("__cuts"))
-    return docs.join(cut(cuts), (doc == F.col("__doc")) & (key == F.col("__key")), "left").drop("__doc", "__key")
+    made = removed_intervals(docs.select(doc.alias("doc"), key.alias("key"), F.col(text).alias("body")), length, **options)
+    found = cut(made.groupBy(F.xxhash64("doc", "text").alias(r_uid)).agg(F.collect_list("cuts").alias(cuts)))
+    held = spark.sparkContext.broadcast(_marks(found, r_uid))
+    named = docs.withColumn(uid, F.xxhash64(doc, key))
+
+    def unmarked(batches):
+        marks = held.value
+        for batch in batches:
+            some = np.flatnonzero(~_marked(marks, batch.column(uid).to_numpy().view(U64)))
+            if len(some):
+                yield from make(batch if len(some) == batch.num_rows else batch.take(pa.array(some)), [None] * len(some))
+
+    def marked(batches):
+        marks = held.value
+        for batch in batches:
+            some = np.flatnonzero(_marked(marks, batch.column(uid).to_numpy().view(U64)))
+            if len(some):
+                yield batch.take(pa.array(some))
+
+    def joined(batches):
+        for batch in batches:
+            yield from make(batch, batch.column(cuts).to_pylist())
+
+    some = named.mapInArrow(marked, named.schema).join(found, F.col(uid) == F.col(r_uid), "left").drop(r_uid)
+    return named.mapInArrow(unmarked, schema).unionByName(some.mapInArrow(joined, schema))
 
 
 def runs(packed):
@@ -328,36 +418,35 @@ def rest(data, starts, ends):
     return b"".join(data[i:j] for i, j in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]))
 
 
-def report(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document row: n_bytes, n_removed, n_spans, kept_sha256."""
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for data, packed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__cuts").to_pylist()):
-                data = data or b""
-                starts, ends = runs(packed)
-                rows.append((len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(rest(data, starts, ends)).hexdigest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def make(batch, cuts):
+        rows = []
+        for data, packed in zip(batch.column("text").cast(pa.binary()).to_pylist(), cuts):
+            data = data or b""
+            starts, ends = runs(packed)
+            rows.append((len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(rest(data, starts, ends)).hexdigest()))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return with_cuts(chosen, length, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return each_cut(chosen, make, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, "doc_id", "text", **options)
 
 
-def clean(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` without the repeated bytes; a character that loses a byte goes whole."""
     schema = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for data, packed in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("__cuts").to_pylist()):
-                if data is not None and packed:
-                    data = rest(data, *runs(packed)).decode("utf-8", "ignore").encode()
-                texts.append(data)
-            new = pa.array(texts, pa.binary()).cast(batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([new if f.name == text else batch.column(f.name) for f in schema], names=schema.names)
-
-    return with_cuts(docs, length, doc_id, text).mapInArrow(run, schema)
+    def make(batch, cuts):
+        texts = []
+        for data, packed in zip(batch.column(text).cast(pa.binary()).to_pylist(), cuts):
+            if data is not None and packed:
+                data = rest(data, *runs(packed)).decode("utf-8", "ignore").encode()
+            texts.append(data)
+        new = pa.array(texts, pa.binary()).cast(batch.schema.field(text).type)
+        yield pa.RecordBatch.from_arrays([new if f.name == text else batch.column(f.name) for f in schema], names=schema.names)
+
+    return each_cut(docs, make, schema, length, doc_id, text, **options)
