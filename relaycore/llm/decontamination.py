@@ -5,12 +5,17 @@ through it while the longest match length is tracked.  A window is `window`
 consecutive words of an item (a shorter, non-empty item is one window); each
 document word inside an occurrence of a window is hit.
 
-Defined cases: a null or wordless text has no words and is never contaminated;
-null and wordless items own no window; equal items are each reported; repeated
-document rows are each judged on their own; an empty benchmark hits nothing.
 The benchmark streams to the driver item by item and is cut into blocks of at
-most `block_words` words (or one longer item); each block is one pass over the
-documents, so what is broadcast at once never grows with either table.
+most `block_words` words, a longer item into pieces that overlap by a window less
+one word.  Each block is one pass over the documents, and with several blocks a
+pass is written out before the next, so one automaton is broadcast at a time and
+its size grows with neither table.
+
+Defined cases: a null or wordless text has no words and is never contaminated;
+null and wordless items own no window; equal items are each reported, items of one
+item_id together; repeated document rows are each judged on their own; an empty
+benchmark hits nothing, an empty table gives no rows.  All columns of the documents
+are kept, whatever their names.
 """
 
 from itertools import repeat
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .tables import share
+from .tables import cut, free_names, share
 
 
 class SuffixAutomaton:
@@ -126,16 +131,17 @@ def words_of(text):
 
 def automata(items: DataFrame, window: int, block_words: int):
     """Automata over blocks of the items (columns item, words as bytes)."""
+    most = max(block_words, window)
     block, size = [], 0
     for item, text in items.toLocalIterator():
         words = words_of(text)
-        if not words:
-            continue
-        if block and size + len(words) > block_words:
-            yield _automaton(block, window)
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
+        for start in range(0, max(1, len(words) - window + 1), most - window + 1) if words else ():
+            piece = words[start : start + most]
+            if block and size + len(piece) > most:
+                yield _automaton(block, window)
+                block, size = [], 0
+            block.append((item, piece))
+            size += len(piece)
     if block:
         yield _automaton(block, window)
 
@@ -147,43 +153,44 @@ def _automaton(block, window):
     return built.finish([(item, words) for item, words in block if len(words) < window])
 
 
-def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 100_000, carry_text: bool = True):
-    """`docs` (without its text unless `carry_text`) plus __n_words long, __hits array<int> (hit word positions as [start, end) pairs) and __items array<string>.
+def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 100_000, carry_text: bool = True) -> tuple[DataFrame, list[str]]:
+    """`docs` (without its text unless `carry_text`) with three more columns, and their names.
 
-    With more than one benchmark block the passes chain: each adds its hits to the columns of the one before.
+    They are, under names that clash with no other: n_words long, hits array<int> (hit
+    word positions as [start, end) pairs) and items array<string>.
     """
-    names = {"__n_words", "__hits", "__items"}
-    kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    out = kept.select("*", F.lit(0).cast("long").alias("__n_words"), F.array().cast("array<int>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
+    names = free_names(docs.columns, "n_words", "hits", "items")
+    out = docs.select("*", *(F.lit(0).cast("long") if k == 0 else F.array().cast(kind) for k, kind in enumerate(("long", "array<int>", "array<string>")))).toDF(*docs.columns, *names)
     chosen = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).cast("binary").alias("words"))
     blocks = automata(chosen, window, block_words)
     automaton = next(blocks, None) or SuffixAutomaton(window).finish([])
     for following in blocks:
-        out, automaton = _one_pass(out, text, automaton, out.schema), following
-    return _one_pass(out, text, automaton, out.schema if carry_text else out.drop(text).schema)
+        out, automaton = cut(_one_pass(out, text, automaton, out.schema, names)), following
+    return _one_pass(out, text, automaton, out.schema if carry_text else out.drop(text).schema, names), names
 
 
-def _one_pass(df, text, automaton, schema):
+def _one_pass(df, text, automaton, schema, names):
     shared = share(df.sparkSession, automaton)
     columns = schema.names
+    n_words, n_hits, n_items = names
 
     def run(batches):
         a = shared()
         get = a.vocabulary.get
         for batch in batches:
             counts, hits, items = [], [], []
-            before = zip(batch.column("__hits").to_pylist(), batch.column("__items").to_pylist())
-            for data, (old, names) in zip(batch.column(text).cast(pa.binary()).to_pylist(), before):
+            before = zip(batch.column(n_hits).to_pylist(), batch.column(n_items).to_pylist())
+            for data, (old, known) in zip(batch.column(text).cast(pa.binary()).to_pylist(), before):
                 words = words_of(data)
                 ids = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                hit, found = np.zeros(len(words) + 2, bool), set(names or ())
+                hit, found = np.zeros(len(words) + 2, bool), set(known or ())
                 a.stream(ids, hit[1:-1], found)
                 for lo, hi in zip(old[::2], old[1::2]):
                     hit[lo + 1 : hi + 1] = True
                 counts.append(len(words))
                 hits.append(np.flatnonzero(hit[1:] != hit[:-1]).astype(np.int32))
                 items.append(sorted(found))
-            new = {"__n_words": pa.array(counts, pa.int64()), "__hits": pa.array(hits, pa.list_(pa.int32())), "__items": pa.array(items, pa.list_(pa.string()))}
+            new = {n_words: pa.array(counts, pa.int64()), n_hits: pa.array(hits, pa.list_(pa.int32())), n_items: pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in columns], names=columns)
 
     return df.mapInArrow(run, schema)
@@ -191,15 +198,15 @@ def _one_pass(df, text, automaton, schema):
 
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document row: the counts, a digest of the items found, and the verdict."""
-    hits = match(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, carry_text=False, **options)
-    n_hit = F.aggregate(F.transform("__hits", lambda at, k: F.when(k % 2 == 1, at).otherwise(-at)), F.lit(0).cast("long"), lambda n, at: n + at)
-    return hits.select(
+    found, (n_words, hits, items) = match(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, carry_text=False, **options)
+    n_hit = F.aggregate(F.transform(hits, lambda at, k: F.when(k % 2 == 1, at).otherwise(-at)), F.lit(0).cast("long"), lambda n, at: n + at)
+    return found.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__hits") > 0).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size(hits) > 0).alias("contaminated"),
     )
 
 
@@ -209,16 +216,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverag
     A removed span reaches from its first word's first byte to its last word's last byte.
     """
     schema = docs.schema
-    hits = match(docs, benchmark, text=text, **options)
+    found, (n_words, hits, _) = match(docs, benchmark, text=text, **options)
 
     def run(batches):
         for batch in batches:
             keep, texts = [], []
-            n_words = batch.column("__n_words").to_pylist()
-            for row, (data, hit) in enumerate(zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("__hits").to_pylist())):
+            sizes = batch.column(n_words).to_pylist()
+            for row, (data, hit) in enumerate(zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(hits).to_pylist())):
                 if hit:
                     covered = sum(hit[1::2]) - sum(hit[::2])
-                    if covered > max_coverage * n_words[row]:
+                    if covered > max_coverage * sizes[row]:
                         continue
                     starts, ends = tb.word_spans(tb.as_array(data.translate(tb.ALNUM_TABLE)), tb.ALNUM_WORD)
                     cuts = [(starts[lo], ends[hi - 1]) for lo, hi in zip(hit[::2], hit[1::2])]
@@ -229,4 +236,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverag
             new = pa.array(texts, pa.binary()).cast(batch.schema.field(text).type)
             yield pa.RecordBatch.from_arrays([new if f.name == text else rows.column(f.name) for f in schema], names=schema.names)
 
-    return hits.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)
