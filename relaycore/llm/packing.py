@@ -9,10 +9,13 @@ a run of ranks of its length, and pieces find their sequence and offset by
 their rank among the pieces of that length.
 
 Ranks are counted per (length, bucket), where a piece's bucket is a hash of its
-document, and shifted by the buckets before; no length is ranked in one task.
+document, and shifted by the buckets before; the number of buckets follows that of
+the pieces (`BUCKET_PIECES`), so no length is ranked in one task.
 
-Defined cases: a null text counts as empty and yields the end id alone;
-repeated rows are packed each; an empty table gives no sequences.
+Defined cases: a null text counts as empty and yields the end id alone; repeated
+rows are packed each, and equal pieces of equal documents are placed in any order;
+null doc_ids are packed like others; an empty table gives no sequences; other
+columns of the documents are not carried.
 """
 
 import zlib
@@ -22,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .tables import cut
+from .tables import bucket_count, cut
 
+#: Pieces of a bucket, about; a rank window sorts no more of one length.
+BUCKET_PIECES = 100_000
 #: The text of the vocabulary's special token is not ordinary text to the tokenizer.
 SPECIAL = "<|endoftext|>"
 
@@ -126,10 +131,12 @@ def layout(patterns) -> list[tuple[int, int, int, int, int, int]]:
     return slots
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, rank_buckets: int = 256, **columns) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, **columns) -> DataFrame:
     """Pieces with their sequence_id and offset."""
     spark = docs.sparkSession
-    made = cut(pieces(docs, tokenizer, size, **columns).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(rank_buckets)).cast("int")))
+    made = cut(pieces(docs, tokenizer, size, **columns))
+    buckets = max(bucket_count(spark), made.count() // BUCKET_PIECES)
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets).cast("long")))
     counts = cut(made.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = layout(pack_histogram(histogram, size))
