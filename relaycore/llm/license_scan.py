@@ -1,26 +1,36 @@
 """License scan: phrases, and an exact set-similarity join with license templates.
 
-Phrases are found as consecutive words.  For the join a text block (a line) and
-a template are sets of words; a block matches a template when it contains at
-least `threshold` hundredths of the template's words.  The join is the prefix
-filtering kind: template words are ordered by their frequency over all
-documents, rarest first; a matching block must hold a word of the template's
-prefix, must hold enough template words at all (length filter), and what is left
-behind the first common words must still suffice (positional filter).  The pairs
-that pass are verified by their whole intersection.
-
-Everything is DataFrame expressions.  The templates are a constant of this
-module, so what is broadcast has a fixed size.
+Phrases are found as consecutive words.  For the join text blocks and templates
+are sets of words; a block matches a template when it contains at least
+`threshold` hundredths of the template's words.  Blocks are the lines of a text,
+and, for notices that are wrapped, windows of consecutive words: a template of m
+words in a row meets windows of the least power of two that is 2 m or more (16 at
+least), which overlap by half, so any m words in a row lie in one of them.
+
+The join is the prefix filtering kind: template words are ordered by the number of
+documents that hold them, rarest first; a matching block must hold a word of the
+template's prefix, must hold enough template words at all (length filter), and what
+is left behind the first common words must still suffice (positional filter).  The
+pairs that pass are verified by their whole intersection.  A text is cut into blocks
+only if as a whole it holds enough words of some template; no other can match.
+
+Everything is DataFrame expressions.  The texts are read once: counts, phrases and
+the template words of each go to a checkpoint, with the text itself only where it
+can match.  The templates are a constant of this module, so what is broadcast has a
+fixed size.
 
 Defined cases: null, empty and wordless texts have no words, no labels and score
 0; a repeated row is judged by itself; documents with one doc_id and different
-texts are kept apart.
+texts, and null doc_ids, are kept apart; ties between templates of one label go to
+the larger share; an empty table gives no rows; other columns are not carried.
 """
 
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tables import cut
+
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Short notices and the opening paragraphs of public licenses.
@@ -45,14 +55,10 @@ TEMPLATES = (
     ("reserved", "All rights reserved."),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LINE_GAPS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _template_words(text):
-    return frozenset(re.findall(r"[0-9a-z\x80-￿]+", text.lower()))
-
-
 def _lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -77,28 +83,81 @@ def _all(conditions):
     return out
 
 
-def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: int = 92) -> DataFrame:
-    """(doc, key, label, contained) for docs (doc, key, body): templates met by a block of the text, and the largest share contained."""
-    sets = [(i, label, _template_words(text)) for i, (label, text) in enumerate(templates)]
-    need = {i: -(-threshold * len(words) // 100) for i, _, words in sets}
-    vocabulary = F.array(*(F.lit(w) for w in sorted(frozenset().union(*(s[2] for s in sets)))))
-    lines = docs.select("doc", "key", F.explode(F.split(F.regexp_replace(_lower(F.col("body")), _LINE_GAPS, " "), "\n")).alias("line"))
+class Templates:
+    """Templates as word sets, how many words a match needs, and the windows that each meets."""
+
+    def __init__(self, templates, threshold):
+        self.rows = []
+        for label, text in templates:
+            words = re.findall(_WORD, text.lower())
+            held = frozenset(words)
+            self.rows.append((label, held, -(-threshold * len(held) // 100), max(16, 1 << (2 * len(words) - 1).bit_length())))
+        self.vocabulary = sorted(frozenset().union(*(r[1] for r in self.rows)))
+        self.least = min(r[2] for r in self.rows)
+
+    def windows(self, held: Column) -> Column:
+        """The window sizes of the templates that a text with these template words can match; null for the others."""
+        sizes = [F.when(F.size(F.array_intersect(held, _strings(words))) >= need, size) for _, words, need, size in self.rows]
+        return F.array_distinct(F.array_compact(F.array(*sizes)))
+
+    def prefixes(self, counts: dict[str, int]):
+        """Rank of each word, and (size, word, template, label, position, need, words by rank) of each prefix word; size 0 are lines."""
+        rank = {w: k for k, w in enumerate(sorted(self.vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+        out = []
+        for i, (label, words, need, size) in enumerate(self.rows):
+            ordered = sorted(words, key=rank.__getitem__)
+            for position, word in enumerate(ordered[: len(words) - need + 1]):
+                out.extend((s, word, i, label, position, need, ordered) for s in (0, size))
+        return rank, out
+
+
+def _strings(words):
+    return F.array(*(F.lit(w) for w in sorted(words)))
+
+
+def read_texts(docs: DataFrame, templates: Templates) -> DataFrame:
+    """One row per row of docs (doc, key, body): n_words, places, held (template words), windows, and lines of a text that can match."""
+    lined = F.regexp_replace(_lower(F.col("body")), _LINE_GAPS, " ")
+    rows = docs.select("doc", "key", lined.alias("lined"))
+    rows = rows.select("*", F.trim(F.regexp_replace("lined", r"[ \n]+", " ")).alias("plain"))
+    some = _any(F.contains(F.col("plain"), F.lit(p)) for p, _ in PHRASES)
+    nothing = F.array().cast("array<struct<at:bigint,label:string>>")
+    # The words are bound once: an expression inside a lambda is evaluated at every step.
+    seen = lambda words: F.struct(F.when(some, phrase_places(words)).otherwise(nothing).alias("places"), F.array_intersect(words, _strings(templates.vocabulary)).alias("held"))
+    bound = F.get(F.transform(F.array(F.split("plain", " ")), seen), 0)
+    n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1).cast("long")
+    rows = rows.select("doc", "key", n_words.alias("n_words"), bound.alias("b"), "lined").select("doc", "key", "n_words", "b.places", "b.held", "lined")
+    windows = F.when(F.size("held") >= templates.least, templates.windows(F.col("held"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("windows", windows)
+    return cut(rows.withColumn("lined", F.when(F.size("windows") > 0, F.col("lined"))))
+
+
+def text_blocks(read: DataFrame, templates: Templates) -> DataFrame:
+    """(doc, key, size, words): the template words of the lines (size 0) and windows of the texts that can match."""
+    known = _strings(templates.vocabulary)
+    block = lambda size, words: F.struct(size.alias("size"), F.array_intersect(words, known).alias("words"))
+    lines = F.transform(F.split("lined", "\n"), lambda line: block(F.lit(0), F.split(line, " ")))
+
+    def of_words(words):
+        starts = lambda size: F.sequence(F.lit(0), F.size(words) - 1, (size / 2).cast("int"))
+        return F.flatten(F.transform("windows", lambda size: F.transform(starts(size), lambda at: block(size, F.slice(words, at + 1, size)))))
+
+    words = F.split(F.trim(F.regexp_replace("lined", r"[ \n]+", " ")), " ")
+    windows = F.get(F.transform(F.array(words), of_words), 0)
+    made = read.filter(F.size("windows") > 0).select("doc", "key", F.explode(F.concat(lines, windows)).alias("b")).select("doc", "key", "b.size", "b.words")
     # Length filter: a block with fewer template words than the smallest template needs matches none.
-    held = lines.select("doc", "key", F.array_intersect(F.split("line", " "), vocabulary).alias("words"))
-    spread = docs.select(F.explode(F.array_intersect(F.split(F.regexp_replace(_lower(F.col("body")), _GAPS, " "), " "), vocabulary)).alias("word"))
-    counts = {r.word: r["count"] for r in spread.groupBy("word").count().collect()}
-    rank = {w: k for k, w in enumerate(sorted({w for _, _, words in sets for w in words}, key=lambda w: (counts.get(w, 0), w)))}
-    rows = []
-    for i, label, words in sets:
-        ordered = sorted(words, key=rank.__getitem__)
-        for position, word in enumerate(ordered[: len(words) - need[i] + 1]):
-            rows.append((word, i, label, position, need[i], ordered))
-    spark = docs.sparkSession
-    prefixes = F.broadcast(spark.createDataFrame(rows, "word string, template int, label string, t_at int, need int, t_words array<string>"))
+    return made.filter(F.size("words") >= templates.least)
+
+
+def template_matches(read: DataFrame, templates: Templates) -> DataFrame:
+    """(doc, key, label, contained): templates met by a block of the text, and the largest share contained."""
+    counts = {r.word: r["count"] for r in read.select(F.explode("held").alias("word")).groupBy("word").count().collect()}  # one row a template word
+    rank, rows = templates.prefixes({w: n for w, n in counts.items() if w})
+    prefixes = F.broadcast(read.sparkSession.createDataFrame(rows, "size int, word string, template int, label string, t_at int, need int, t_words array<string>"))
     ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
     ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(ranks, w).alias("r"), w.alias("w")))), lambda x: x["w"])
-    blocks = held.filter(F.size("words") >= min(need.values())).select("doc", "key", ordered.alias("b_words"))
-    pairs = blocks.select("doc", "key", "b_words", F.posexplode("b_words").alias("b_at", "word")).join(prefixes, "word")
+    blocks = text_blocks(read, templates).select("doc", "key", "size", ordered.alias("b_words"))
+    pairs = blocks.select("doc", "key", "size", "b_words", F.posexplode("b_words").alias("b_at", "word")).join(prefixes, ["size", "word"])
     # Positional filter, for a pair's first common word: it and all behind it must suffice.
     behind = F.least(F.size("t_words") - F.col("t_at"), F.size("b_words") - F.col("b_at"))
     first = F.slice("t_words", 1, F.col("t_at"))
@@ -108,20 +167,13 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: int = 92)
     return met.groupBy("doc", "key", "label").agg(F.max(F.col("shared") / F.col("n")).alias("contained"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 92) -> DataFrame:
-    """One row per document row: words, phrase places, labels of phrases and of templates, score."""
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 92, templates=TEMPLATES) -> DataFrame:
+    """One row per document row: words, phrase places, labels of phrases and of templates, score (1, or the largest share contained)."""
     chosen = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    plain = F.trim(F.regexp_replace(_lower(F.col("body")), _GAPS, " "))
-    counted = chosen.select("doc", "key", plain.alias("plain"))
-    n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.translate("plain", " ", "")) + 1).cast("long")
-    some = _any(F.contains(F.col("plain"), F.lit(p)) for p, _ in PHRASES)
-    nothing = F.array().cast("array<struct<at:bigint,label:string>>")
-    # The words are bound once: an expression inside a lambda is evaluated at every step.
-    bound = F.get(F.transform(F.array(F.split("plain", " ")), lambda words: phrase_places(words)), 0)
-    places = F.when(some, bound).otherwise(nothing)
-    base = counted.select("doc", "key", n_words.alias("n_words"), places.alias("places"))
-    met = template_matches(chosen, threshold=threshold).groupBy(F.col("doc").alias("m_doc"), F.col("key").alias("m_key")).agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
-    out = base.join(met, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("key") == F.col("m_key")), "left")
+    known = Templates(templates, threshold)
+    read = read_texts(chosen, known)
+    met = template_matches(read, known).groupBy(F.col("doc").alias("m_doc"), F.col("key").alias("m_key")).agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
+    out = read.drop("lined", "held", "windows").join(met, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("key") == F.col("m_key")), "left")
     own = F.array_distinct(F.transform("places", lambda p: p["label"]))
     starts = F.transform("places", lambda p: p["at"])
     return out.select(
