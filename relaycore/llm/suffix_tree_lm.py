@@ -14,23 +14,34 @@ is tested once it occurs `LEAST` times, whatever the corpus: the tree grows with
 it.  So it is never in one place.  Words and runs of words are named by 64-bit
 hashes, and the levels are tables by hash.  The tree grows by one level a pass:
 pairs are counted over all training documents and summed by ranges of their hash.
+Contexts and symbols with more than a 1,024th of all words are dealt to `SALTS`
+places in the joins of a level.
 
 The log probability of a word is a sum: that of the root, for each context in
 the tree the log of what it leaves to its parent, and for the kept pair of each
-level how much it lifts that.  So each run of words has one weight, and a
-document's score is the sum of the weights of its runs, found by a join on their
-hashes.  Two helpers of a fixed size change no result: a table of frequent runs,
-which are weighed where they stand, and a filter of the runs that the tree may
-hold, which has no false negatives and, overfull, costs time only.
+level how much it lifts that.  A context is itself a kept pair of the level before,
+so what the runs that start at one word are worth is the value of the longest of
+them: each row of the tree holds the sum over its prefixes.  A task therefore asks
+for each word of its texts, and for each place for the longest run that starts
+there and may be in the tree, at the hash range of the run's first two words, where
+all of that run's prefixes are too.  (Of runs with more than a 1,024th of all
+words, at most 1,024 a level, every task knows the value; longer runs are kept
+relative to them, at the range of their own hash.)  The answers come back by chunk
+of texts, summed per text.  Two helpers of a fixed size change no result: a table of
+frequent words and runs, which are weighed where they stand, and a filter of the
+runs that the tree may hold, which has no false negatives and, overfull, costs time
+only.
 
 Defined cases: a null text counts as empty and holds just its end; without
-training documents every score is 0 tokens' worth of the unknown word; rows of
-one doc_id and one text are scored alike.
+training documents every score is 0 tokens' worth of the unknown word; null doc_ids
+are training documents; repeated rows are each scored, alike; an empty table gives
+no rows; other columns are not carried.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
 from .exchange import by_bucket
@@ -43,7 +54,7 @@ STOP = U64(0x5851F42D4C957F2D)
 #: A pair is tested for divergence when it occurs this often.
 LEAST = 3
 _FLUSH = 1 << 21
-_CHUNK_BYTES = 1 << 22
+_CHUNK_BYTES, _CHUNK_ROWS = 1 << 22, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
 _CACHE_BITS = 21
@@ -88,7 +99,7 @@ def _chunks(batches, column="body"):
         for k, body in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
             held.append(body)
             size += len(body or b"")
-            if size > _CHUNK_BYTES:
+            if size > _CHUNK_BYTES or len(held) == _CHUNK_ROWS:
                 yield batch, lo, held
                 held, size, lo = [], 0, k + 1
         if held:
@@ -155,28 +166,45 @@ def _filter_bits(seen):
     return (len(seen) * 8).bit_length() - 1
 
 
+#: The filter is filled in so many slices, each by one task.
+_SLICE_BITS = 5
+
+
+def _probes(hashes, size):
+    """Two places of each hash, within the slice of its first bits."""
+    inner = size - _SLICE_BITS
+    base = _slot(hashes, _SLICE_BITS) << inner
+    yield base + ((hashes >> U64(64 - size)) & U64((1 << inner) - 1)).astype(np.int64)
+    yield base + (hashes & U64((1 << inner) - 1)).astype(np.int64)
+
+
 def _mark(seen, keys: DataFrame):
     """Adds the hashes of keys (g) to the bits of a filter."""
-    bits, size = 5, _filter_bits(seen)
-    width = 1 << (size - bits)
+    size = _filter_bits(seen)
+    width = 1 << (size - _SLICE_BITS)
 
     def slice_of(table):
-        at = _slot(table.column("g").to_numpy().view(U64), size)
         marks = np.zeros(width, np.uint8)
-        marks[at % width] = 1
-        return pa.table({"part": pa.array([int(at[0] // width)]), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+        for at in _probes(table.column("g").to_numpy().view(U64), size):
+            marks[at % width] = 1
+        part = int(at[0] // width)
+        return pa.table({"part": pa.array([part]), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
-    parts = keys.select("g", F.shiftrightunsigned("g", 64 - bits).alias("part")).groupBy("part").applyInArrow(slice_of, "part long, marks binary")
+    parts = keys.select("g", F.shiftrightunsigned("g", 64 - _SLICE_BITS).alias("part")).groupBy("part").applyInArrow(slice_of, "part long, marks binary")
     for row in parts.toLocalIterator():
         at = row.part * width // 8
         seen[at : at + width // 8] |= np.frombuffer(row.marks, np.uint8)
 
 
-def _marked(seen, hashes):
-    at = _slot(hashes, _filter_bits(seen))
+def _bit(seen, at):
     return (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+def _marked(seen, hashes):
+    first, second = _probes(hashes, _filter_bits(seen))
+    return _bit(seen, first) & _bit(seen, second)
+
+
 def _pairs(bodies, level, seen=None, often=None):
     """Of the level's pairs that may be in the tree: hashes of the pair, its context, and the pair after one and (level 3 on) two words less."""
     symbols, place, _ = tokens(bodies)
@@ -189,7 +217,7 @@ def _pairs(bodies, level, seen=None, often=None):
         at = at[_marked(seen, context[at])]
         at = at[_marked(seen, symbols[at])]
     if often is not None:
-        at = at[_marked(often, made[level][0][at])]
+        at = at[_bit(often, _slot(made[level][0][at], _filter_bits(often)))]
     lower = [made[level - 2][0][at]] if level > 2 else []
     return np.stack([made[level][0][at], context[at], made[level - 1][0][at], *lower])
 
@@ -249,66 +277,105 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
 
 
 class Tree:
-    """The weights of runs of words (g, n, known, base, score), and what holds for all of them."""
+    """The weights of words and of runs of words (g, home, n, known, base, score), and what holds for all of them.
+
+    home is the hash by which a row is dealt to ranges; hot holds the hashes and the
+    values of the very frequent runs, by level.
+    """
 
     def __init__(self, n, v, once, twice):
         self.n, self.v = n, v
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
         self.unknown = self.discount * v / n if n else 1.0
         self.base = float(np.log10(0.5 / (n + 0.5 * (v + 1))))
+        self.hot_n = max(1024, n >> 10)
+        self.hot = []
         self.seen = np.zeros(1 << (min(_FILTER_BITS, max(16, int(n).bit_length() + 3)) - 3), np.uint8)
 
+    def _often(self, table):
+        """The hashes of the rows that occur more often than a 1,024th of all words."""
+        return [r.g for r in table.filter(F.col("n") >= self.hot_n).select("g").collect()]
+
     def add_level(self, pairs, totals, parents, lowest, symbol_gain=4.0, context_gain=12.0):
-        """pairs with lp, the log probability of the symbol, and what is kept of those that diverge enough from the parents."""
-        found = pairs.join(parents.select(F.col("g").alias("parent"), F.col("lp").alias("p1")), "parent", "left")
+        """pairs with lp, the log probability of the symbol, and what is kept of those that diverge enough from the parents.
+
+        totals: (g, n, home, worth) of the contexts; worth is null where the runs after a context are relative to nothing before it.
+        """
+        hot, over = self._often(totals), self._often(parents)
+        found = _meet(pairs, "parent", parents.select("g", F.col("lp").alias("p1")), over)
         if lowest is not None:  # a parent whose context is not in the tree has the probability of its own parent
-            found = found.join(lowest.select(F.col("g").alias("lower"), F.col("lp").alias("p2")), "lower", "left")
+            found = _meet(found, "lower", lowest.select("g", F.col("lp").alias("p2")), self._often(lowest))
         p = F.coalesce("p1", "p2") if lowest is not None else F.col("p1")
-        found = found.join(totals.select(F.col("g").alias("context"), F.col("n").alias("total")), "context").withColumn("p", p)
+        found = _meet(found, "context", totals.select("g", F.col("n").alias("total"), F.col("home").alias("c_home"), "worth"), hot, "inner").withColumn("p", p)
         gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("p"))
         found = found.withColumn("gain", F.when(gain > symbol_gain, gain))
         own = (F.col("n") - self.discount) / F.col("total")
-        every = Window.partitionBy("context")
-        found = found.withColumn("whole", F.sum("gain").over(every)).withColumn("taken", F.sum(F.when(F.col("gain").isNotNull(), own)).over(every))
+        sums = found.groupBy(F.col("context").alias("g")).agg(F.sum("gain").alias("whole"), F.sum(F.when(F.col("gain").isNotNull(), own)).alias("taken"))
+        found = _meet(found, "context", sums, hot)
         held = F.coalesce(F.col("whole") > context_gain, F.lit(False))
         found = found.withColumn("left", F.when(held, F.greatest(1 - F.col("taken"), F.lit(1e-9))).otherwise(1.0)).withColumn("kept", held & F.col("gain").isNotNull())
         smooth = F.log("left") + F.col("p")
         lp = F.when(F.col("kept"), F.log(own + F.col("left") * F.exp("p"))).otherwise(smooth)
         if_kept = lambda c: F.when(F.col("kept"), c)
-        return cut(found.select("g", if_kept(F.col("context")).alias("context"), "n", "kept", lp.alias("lp"), if_kept(lp - smooth).alias("lift"), if_kept(F.log("left")).alias("left")))
+        left = F.log("left") / _TEN
+        alone = F.col("worth").isNull()
+        worth = F.when(alone, 0.0).otherwise(F.col("worth") + left) + (lp - smooth) / _TEN
+        home = F.when(alone, F.col("g")).otherwise(F.col("c_home"))
+        return cut(found.select("g", if_kept(F.col("context")).alias("context"), "n", "kept", lp.alias("lp"), if_kept(left).alias("left"), if_kept(home).alias("home"), if_kept(worth).alias("worth")))
+
+
+_TEN = float(np.log(10))
+#: Places to which a very frequent key of a join is dealt.
+SALTS = 32
+
+
+def _meet(df, name, other, hot, how="left"):
+    """`df` with the columns of `other` (g, ...) where g is its column `name`; the keys in `hot` are dealt to SALTS places."""
+    salt = F.when(F.col(name).isin(hot), F.pmod("g", F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(F.col("m_g").isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    if not hot:
+        return df.join(other.withColumnRenamed("g", "m_g"), F.col(name) == F.col("m_g"), how).drop("m_g")
+    other = other.withColumnRenamed("g", "m_g").withColumn("m_salt", F.explode(salts))
+    return df.withColumn("salt", salt).join(other, (F.col(name) == F.col("m_g")) & (F.col("salt") == F.col("m_salt")), how).drop("m_g", "m_salt", "salt")
 
 
 def train(docs: DataFrame, counts: DataFrame, depth: int = 3) -> Tree:
     """The tree of docs (body), whose (g, n) counts of words should be a checkpoint."""
     tree = Tree(*counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))).first())
     root = F.greatest(F.col("n") - tree.discount, F.lit(1e-3)) / max(1, tree.n)
-    parents = counts.select("g", F.log(root).alias("lp"))
+    parents = counts.select("g", "n", F.log(root).alias("lp"))
     base = F.log10((F.col("n") + 0.5) / (tree.n + 0.5 * (tree.v + 1))) - tree.base
-    nothing = F.lit(0.0)
-    parts = [counts.select("g", "n", F.lit(1).alias("known"), base.alias("base"), (F.log10(root) - float(np.log10(tree.unknown))).alias("score"))]
-    totals, levels = counts.filter(F.col("n") >= LEAST), []
+    nothing, none = F.lit(0.0), F.lit(0).cast("long")
+    whole = (F.log10(root) - float(np.log10(tree.unknown))).alias("score")
+    parts = [counts.select("g", F.col("g").alias("home"), "n", F.lit(1).cast("long").alias("known"), base.alias("base"), whole)]
+    totals, levels = counts.filter(F.col("n") >= LEAST).select("g", "n", F.col("g").alias("home"), F.lit(None).cast("double").alias("worth")), []
     _mark(tree.seen, totals)
     for level in range(1, depth + 1):
         pairs = pair_counts(docs, level, tree.seen, tree.n)
         levels.append(tree.add_level(pairs, totals, parents, levels[-2] if level > 2 else None))
         kept = levels[-1].filter("kept")
-        ten = float(np.log(10))
-        parts.append(kept.select("g", "n", F.lit(0).alias("known"), nothing.alias("base"), (F.col("lift") / ten).alias("score")))
+        parts.append(kept.select("g", "home", "n", none.alias("known"), nothing.alias("base"), F.col("worth").alias("score")))
+        # What a context leaves to its parent counts wherever it stands, so it is added to its own row.
         contexts = kept.groupBy("context").agg(F.first("left").alias("left"))
-        parts.append(contexts.select(F.col("context").alias("g"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("known"), nothing.alias("base"), (F.col("left") / ten).alias("score")))
+        parts.append(contexts.select(F.col("context").alias("g"), F.lit(None).cast("long").alias("home"), none.alias("n"), none.alias("known"), nothing.alias("base"), F.col("left").alias("score")))
         if kept.isEmpty():
             break
         _mark(tree.seen, kept)
-        totals, parents = kept, levels[-1]
+        # The runs after a very frequent one are relative to it, and dealt by their own hash.
+        worth = F.when(F.col("n") < tree.hot_n, F.col("worth"))
+        totals, parents = kept.select("g", "n", "home", worth.alias("worth")), levels[-1]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    tree.weights = cut(every.groupBy("g").agg(F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    tree.weights = cut(every.groupBy("g").agg(F.max("home").alias("home"), F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    hot = tree.weights.filter((F.col("known") == 0) & (F.col("n") >= tree.hot_n)).select("g", "score").collect()  # at most 1,024 a level
+    order = np.argsort(np.array([r.g for r in hot], np.int64).view(U64))
+    tree.hot = (np.array([r.g for r in hot], np.int64).view(U64)[order], np.array([r.score for r in hot], np.float64)[order])
     return tree
 
 
 class _Cache:
-    """Weights of frequent runs, at most one a slot; what it lacks is joined."""
+    """Weights of frequent words and runs, at most one a slot; what it lacks is asked for."""
 
     def __init__(self, table, bits):
         g = table.column("g").to_numpy().view(U64)
@@ -318,8 +385,8 @@ class _Cache:
         self.full[at] = True
         self.keys = np.zeros(1 << bits, U64)
         self.keys[at] = g[order]
-        self.values = np.zeros((1 << bits, 2))
-        self.values[at] = np.stack([table.column(c).to_numpy()[order] for c in ("base", "score")], axis=1)
+        self.base, self.score = np.zeros(1 << bits), np.zeros(1 << bits)
+        self.base[at], self.score[at] = (table.column(c).to_numpy()[order] for c in ("base", "score"))
 
     def find(self, hashes):
         at = _slot(hashes, self.bits)
@@ -335,114 +402,183 @@ def _frequent(weights, size):
         if held + classes[k] > size:
             break
         least, held = k, held + classes[k]
-    return weights.filter(size_class >= least if least is not None else F.lit(False)).toArrow()
+    return weights.filter(size_class >= least if least is not None else F.lit(False)).select("g", "n", "base", "score").toArrow()
+
+
+def _sums(of, values, n):
+    return np.bincount(of, values, n).astype(np.float64)
+
+
+def _lookup(held, wanted):
+    """Places of `wanted` in the sorted `held`, -1 where absent."""
+    if not len(held):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+    return np.where(held[at] == wanted, at, -1)
+
+
+def starting_runs(bodies, depth):
+    """Of texts with STOP put before them: tokens, text of each, whether it is a token to score, and hashes of the runs of 2 to depth + 1 that start there (0 where the text ends before)."""
+    symbols, place, text = tokens(bodies)
+    first = np.flatnonzero(place == 0)
+    symbols = np.insert(symbols, first, STOP)
+    token = np.insert(np.ones(len(text), bool), first, False)
+    text = np.insert(text, first, text[first])
+    out, run, fits = [], symbols, np.ones(len(symbols), bool)
+    for k in range(1, depth + 1):
+        later = np.concatenate([symbols[k:], np.zeros(min(k, len(symbols)), U64)])
+        same = np.concatenate([text[k:], np.full(min(k, len(text)), -1)]) == text
+        fits &= same
+        run = _join(run, later)
+        out.append((run, fits.copy()))
+    return symbols, text, token, out
+
+
+class _Asker:
+    """Weighs the words and runs of a chunk of texts as far as a task can, and lists what is to be asked for."""
+
+    def __init__(self, tree_seen, hot, cache, depth):
+        self.seen, self.hot, self.cache, self.depth = tree_seen, hot, cache, depth
+
+    def __call__(self, bodies):
+        """Per text: tokens, known words, base and score so far; and (keys, texts) of words and of chains of one to `depth` runs."""
+        rows = len(bodies)
+        symbols, text, token, made = starting_runs(bodies, self.depth)
+        n = np.bincount(text[token], minlength=rows)
+        words, of = symbols[token], text[token]
+        slot = self.cache.find(words)
+        hit = slot >= 0
+        known = np.bincount(of[hit], minlength=rows)
+        base = _sums(of[hit], self.cache.base[slot[hit]], rows)
+        score = _sums(of[hit], self.cache.score[slot[hit]], rows)
+        asked = [(words[~hit][None], of[~hit])]
+        # The longest run that the filter lets pass, and how many of its first runs are very frequent.
+        at = np.arange(len(symbols))
+        length, skipped = np.zeros(len(symbols), np.int8), np.zeros(len(symbols), np.int8)
+        for k, (run, fits) in enumerate(made):
+            at = at[fits[at]]
+            at = at[_marked(self.seen, run[at])]
+            length[at] = k + 1
+            place = _lookup(self.hot[0], run[at])
+            some = place >= 0
+            score += _sums(text[at[some]], self.hot[1][place[some]], rows)
+            skipped[at[some]] = k + 1
+        for size in range(1, self.depth + 1):
+            for skip in range(size):
+                at = np.flatnonzero((length == size) & (skipped == skip))
+                if not len(at):
+                    continue
+                slot = self.cache.find(made[size - 1][0][at])
+                hit = slot >= 0
+                score += _sums(text[at[hit]], self.cache.score[slot[hit]], rows)
+                at = at[~hit]
+                asked.append((np.stack([made[j][0][at] for j in range(skip, size)]), text[at]))
+        return n, known, base, score, asked
 
 
 def score(docs: DataFrame, tree: Tree, depth: int = 3, cache_rows: int = 1 << _CACHE_BITS) -> DataFrame:
-    """docs (doc, key, body) to (doc, key, n_tokens, n_known, base_score, score, rows), one row per distinct document."""
+    """docs (doc, body) to (doc, n_tokens, n_known, base_score, score), a row each."""
     spark = docs.sparkSession
-    shared = share(spark, (tree.seen, _Cache(_frequent(tree.weights, cache_rows), min(_CACHE_BITS, max(10, int(tree.n).bit_length())))))
-    bits = _bits(spark, tree.n)
+    cache = _Cache(_frequent(tree.weights, cache_rows), min(_CACHE_BITS, max(10, int(tree.n).bit_length())))
+    shared = share(spark, _Asker(tree.seen, tree.hot, cache, depth))
+    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (int(tree.n) >> 22).bit_length())
     unknown, default = float(np.log10(tree.unknown)), tree.base
-    own = "uid long, doc long, key long, n long, known long, base double, score double"
-    own_names, own_kinds = [x.split()[0] for x in own.split(", ")], [*[pa.int64()] * 5, *[pa.float64()] * 2]
-    schema = f"bucket int, keys binary, of binary, uids binary, {own}"
-    names, kinds = ["bucket", "keys", "of", "uids", *own_names], [pa.int32(), *[pa.binary()] * 3, *own_kinds]
+    kind = docs.schema["doc"].dataType.simpleString()
+    # A chunk of texts: its own row with docs, and rows that ask (of: text numbers; keys: `width` hashes each).
+    schema = f"bucket int, chunk long, width int, of binary, keys binary, known binary, base binary, score binary, docs array<{kind}>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        seen, cache = shared()
+        asker = shared()
+        chunk = TaskContext.get().partitionId() << 32
         for batch, lo, bodies in _chunks(batches):
             rows = len(bodies)
-            symbols, place, text = tokens(bodies)
-            n = np.bincount(text, minlength=rows)
-            known, base, total = np.zeros(rows, np.int64), n * default, n * unknown
-            keys, of = [], []
-            for k, (hashes, there) in enumerate(runs(symbols, place, depth)):
-                if k:
-                    at = np.flatnonzero(there)
-                    at = at[_marked(seen, hashes[at])]
-                    hashes, where = hashes[at], text[at]
-                else:
-                    where = text
-                slot = cache.find(hashes)
-                hit = slot >= 0
-                values = cache.values[slot[hit]]
-                total += np.bincount(where[hit], values[:, 1], rows)
-                if not k:
-                    known += np.bincount(where[hit], minlength=rows)
-                    base += np.bincount(where[hit], values[:, 0], rows)
-                keys.append(hashes[~hit])
-                of.append(where[~hit])
-            part = batch.slice(lo, rows)
-            uid, nothing = part.column("uid").to_numpy(), pa.nulls(rows, pa.binary())
-            bucket = pa.array(_slot(tb.mix(uid.view(U64)), bits), pa.int32())
-            yield pa.RecordBatch.from_arrays([bucket, nothing, nothing, nothing, part.column("uid"), part.column("doc"), part.column("key"), *map(pa.array, (n, known, base, total))], names=names)
-            keys, of = np.concatenate(keys), np.concatenate(of)
-            order = np.argsort(keys)
-            keys, of = keys[order], of[order]
+            n, known, base, total, asked = asker(bodies)
+            own = [n.astype(np.int64), known.astype(np.int64), base + n * default, total + n * unknown]
+            ids = batch.column("doc").slice(lo, rows)
+            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), ids)
+            made = [pa.array([chunk & ((1 << bits) - 1)], pa.int32()), pa.array([chunk], pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in own[:1]), pa.nulls(1, pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in own[1:]), ids]
+            yield pa.RecordBatch.from_arrays(made, names=names)
             sent = []
-            for b, i, j in by_bucket(keys, bits):
-                texts, at = np.unique(of[i:j], return_inverse=True)
-                sent.append((b, keys[i:j].tobytes(), at.astype(np.uint32).tobytes(), uid[texts].tobytes(), *[None] * 7))
+            for keys, of in asked:
+                order = np.argsort(keys[0])
+                keys, of = keys[:, order], of[order].astype(np.uint16)
+                sent.extend((b, chunk, len(keys), of[i:j].tobytes(), keys[:, i:j].tobytes()) for b, i, j in by_bucket(keys[0], bits))
             if sent:
-                yield _batch(names, kinds, sent)
-
-    def meet(rows, weights):
-        """The documents' own rows as they are, and sums of the weights that the sent runs meet."""
-        alone = rows.filter(rows.column("keys").is_null()).select(own_names)
-        sent = rows.filter(rows.column("keys").is_valid())
-        if not sent.num_rows or not weights.num_rows:
+                columns = [pa.array([r[i] for r in sent], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+                empty = pa.nulls(len(sent), pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, empty, empty, empty, pa.nulls(len(sent), ids.type)], names=names)
+            chunk += 1
+
+    answer = f"chunk long, of binary, known binary, base binary, score binary, docs array<{kind}>"
+    answers = [c.split()[0] for c in answer.split(", ")]
+
+    def meet(asked, weights):
+        """The chunks' own rows as they are, and per chunk sums of what its texts asked for here."""
+        alone = asked.filter(asked.column("keys").is_null()).select(answers)
+        asked = asked.filter(asked.column("keys").is_valid())
+        if not asked.num_rows or not weights.num_rows:
             return alone
-        texts, of, before = [], [], 0
-        for at, held in zip(sent.column("of").to_pylist(), sent.column("uids").to_pylist()):
-            of.append(np.frombuffer(at, np.uint32).astype(np.int64) + before)
-            texts.append(np.frombuffer(held, np.int64))
-            before += len(texts[-1])
-        uid, of_text = np.unique(np.concatenate(texts), return_inverse=True)
-        of = of_text[np.concatenate(of)]
-        keys = np.frombuffer(b"".join(sent.column("keys").to_pylist()), U64)
         held = weights.column("g").to_numpy().view(U64)
         order = np.argsort(held)
         held = held[order]
-        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-        hit = held[at] == keys
-        at, of = order[at[hit]], of[hit]
-        sums = [np.bincount(of, weights.column(c).to_numpy()[at], len(uid)).astype(float) for c in ("known", "base", "score")]
-        some = np.bincount(of, minlength=len(uid)) > 0
-        size, none = int(some.sum()), pa.nulls(int(some.sum()), pa.int64())
-        met = [pa.array(uid[some]), none, none, pa.nulls(size, pa.int64()), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some]), pa.array(sums[2][some])]
-        return pa.concat_tables([alone, pa.table(met, names=own_names)])
-
-    made = docs.select("doc", "key", "body", F.xxhash64("doc", "key").alias("uid")).mapInArrow(run, schema)
-    ranged = tree.weights.select(F.shiftrightunsigned("g", 64 - bits).cast("int").alias("bucket"), "g", F.col("known").cast("long").alias("known"), "base", "score")
-    every = made.groupBy("bucket").cogroup(ranged.groupBy("bucket")).applyInArrow(meet, own)
-    return every.groupBy("uid").agg(
-        F.max("doc").alias("doc"),
-        F.max("key").alias("key"),
-        F.sum("n").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-        F.count("n").alias("rows"),
-    )
+        weight = [weights.column(c).to_numpy()[order] for c in ("known", "base", "score")]
+        sums = {}
+        for chunk, width, of, keys in zip(*(asked.column(c).to_pylist() for c in ("chunk", "width", "of", "keys"))):
+            of, keys = np.frombuffer(of, np.uint16), np.frombuffer(keys, U64).reshape(width, -1)
+            at = np.full(len(of), -1)
+            for chain in keys[::-1]:  # the longest run first
+                open_ = np.flatnonzero(at < 0)
+                at[open_] = _lookup(held, chain[open_])
+            hit = at >= 0
+            sums.setdefault(chunk, []).append((of[hit], at[hit]))
+        rows = []
+        for chunk, found in sums.items():
+            of, at = (np.concatenate(x) for x in zip(*found))
+            texts, of = np.unique(of, return_inverse=True)
+            if len(texts):
+                known, base, total = (_sums(of, w[at], len(texts)) for w in weight)
+                # Only words have a base; an empty column says that all are 0.
+                some = known.any()
+                rows.append((chunk, texts.tobytes(), known.astype(np.uint32).tobytes() if some else b"", base.tobytes() if some else b"", total.tobytes()))
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 4))]
+        made = pa.table([*columns, pa.nulls(len(rows), alone.schema.field("docs").type)], names=answers)
+        return pa.concat_tables([alone, made])
+
+    result = f"doc {kind}, n_tokens long, n_known long, base_score double, score double"
+
+    def total(table):
+        mine = table.filter(table.column("docs").is_valid())
+        n, known, base, out = (np.frombuffer(mine.column(c)[0].as_py(), t).copy() for c, t in (("of", np.int64), ("known", np.int64), ("base", float), ("score", float)))
+        rest = table.filter(table.column("docs").is_null())
+        for of, more_known, more_base, more in zip(*(rest.column(c).to_pylist() for c in ("of", "known", "base", "score"))):
+            at = np.frombuffer(of, np.uint16)
+            out[at] += np.frombuffer(more)
+            if more_known:
+                known[at] += np.frombuffer(more_known, np.uint32)
+                base[at] += np.frombuffer(more_base)
+        ids = mine.column("docs").combine_chunks().flatten()
+        return pa.table({"doc": ids, "n_tokens": n, "n_known": known, "base_score": base, "score": out})
+
+    asked = docs.select("doc", "body").mapInArrow(run, schema)
+    ranged = tree.weights.select(F.shiftrightunsigned("home", 64 - bits).cast("int").alias("bucket"), "g", "known", "base", "score")
+    every = asked.groupBy("bucket").cogroup(ranged.groupBy("bucket")).applyInArrow(meet, answer)
+    return every.groupBy("chunk").applyInArrow(total, result)
 
 
 def report(docs: DataFrame, depth: int = 3, **options) -> DataFrame:
     """Scores of every document; those whose crc32(doc_id) mod 5 is not 1 are the training set."""
     held_out = F.coalesce(crc_mod("doc", 5) == 1, F.lit(False))
-    chosen = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").alias("body"))
+    chosen = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
     training = chosen.filter(~held_out)
     tree = train(training, cut(word_counts(training)), depth)
     scored = score(chosen, tree, depth, **options)
-    # Equal rows were summed together: each gets its share, and a row.
-    each = scored.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
-    share_of = lambda name: F.col(name) / F.col("rows")
-    return each.select(
+    return scored.select(
         F.col("doc").alias("doc_id"),
         held_out.alias("held_out"),
-        share_of("n_tokens").cast("long").alias("n_tokens"),
-        share_of("n_known").cast("long").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(tree.n).cast("long").alias("train_tokens"),
-        share_of("base_score").alias("base_score"),
-        share_of("score").alias("score"),
+        "base_score",
+        "score",
     )
