@@ -41,11 +41,11 @@ no rows; other columns are not carried.
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbytes as tb
 from .exchange import by_bucket
-from .tables import bucket_count, crc_mod, cut, share
+from .tables import bucket_count, crc_mod, remove, share, written
 
 U64 = np.uint64
 _RUN = U64(0xA24BAED4963EE407)
@@ -54,10 +54,10 @@ STOP = U64(0x5851F42D4C957F2D)
 #: A pair is tested for divergence when it occurs this often.
 LEAST = 3
 _FLUSH = 1 << 21
-_CHUNK_BYTES, _CHUNK_ROWS = 1 << 22, 1 << 15
+_CHUNK_BYTES, _CHUNK_ROWS = 1 << 21, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
-_CACHE_BITS = 21
+_CACHE_BITS = 20
 
 
 def _join(context, symbol):
@@ -296,22 +296,24 @@ class Tree:
         """The hashes of the rows that occur more often than a 1,024th of all words."""
         return [r.g for r in table.filter(F.col("n") >= self.hot_n).select("g").collect()]
 
-    def add_level(self, pairs, totals, parents, lowest, symbol_gain=4.0, context_gain=12.0):
-        """pairs with lp, the log probability of the symbol, and what is kept of those that diverge enough from the parents.
+    def add_level(self, pairs, totals, symbol_gain=4.0, context_gain=12.0):
+        """pairs (g, context, n, p) with lp, the log probability of the symbol, and what is kept of those that diverge enough from the parents.
 
         totals: (g, n, home, worth) of the contexts; worth is null where the runs after a context are relative to nothing before it.
         """
-        hot, over = self._often(totals), self._often(parents)
-        found = _meet(pairs, "parent", parents.select("g", F.col("lp").alias("p1")), over)
-        if lowest is not None:  # a parent whose context is not in the tree has the probability of its own parent
-            found = _meet(found, "lower", lowest.select("g", F.col("lp").alias("p2")), self._often(lowest))
-        p = F.coalesce("p1", "p2") if lowest is not None else F.col("p1")
-        found = _meet(found, "context", totals.select("g", F.col("n").alias("total"), F.col("home").alias("c_home"), "worth"), hot, "inner").withColumn("p", p)
-        gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("p"))
-        found = found.withColumn("gain", F.when(gain > symbol_gain, gain))
-        own = (F.col("n") - self.discount) / F.col("total")
-        sums = found.groupBy(F.col("context").alias("g")).agg(F.sum("gain").alias("whole"), F.sum(F.when(F.col("gain").isNotNull(), own)).alias("taken"))
-        found = _meet(found, "context", sums, hot)
+        hot = self._often(totals)
+        found = self._gains(pairs, totals, hot, symbol_gain)
+        sums = (F.sum("gain").alias("whole"), F.sum(F.when(F.col("gain").isNotNull(), F.col("own"))).alias("taken"))
+        every = Window.partitionBy("context", "salt")
+        found = found.withColumn("whole", F.sum("gain").over(every)).withColumn("taken", F.sum(F.when(F.col("gain").isNotNull(), F.col("own"))).over(every))
+        if hot:  # these stand at several places, so their sums, 1,024 at most, are taken before
+            some = self._gains(pairs.filter(F.col("context").isin(hot)), totals.filter(F.col("g").isin(hot)), hot, symbol_gain)
+            spark, schema = pairs.sparkSession, "m_g long, m_whole double, m_taken double"
+            known = F.broadcast(spark.createDataFrame(some.groupBy("context").agg(*sums).collect(), schema))
+            found = found.join(known, F.col("context") == F.col("m_g"), "left")
+            found = found.withColumn("whole", F.when(F.col("m_g").isNull(), F.col("whole")).otherwise(F.col("m_whole")))
+            found = found.withColumn("taken", F.when(F.col("m_g").isNull(), F.col("taken")).otherwise(F.col("m_taken")))
+        own = F.col("own")
         held = F.coalesce(F.col("whole") > context_gain, F.lit(False))
         found = found.withColumn("left", F.when(held, F.greatest(1 - F.col("taken"), F.lit(1e-9))).otherwise(1.0)).withColumn("kept", held & F.col("gain").isNotNull())
         smooth = F.log("left") + F.col("p")
@@ -321,7 +323,23 @@ class Tree:
         alone = F.col("worth").isNull()
         worth = F.when(alone, 0.0).otherwise(F.col("worth") + left) + (lp - smooth) / _TEN
         home = F.when(alone, F.col("g")).otherwise(F.col("c_home"))
-        return cut(found.select("g", if_kept(F.col("context")).alias("context"), "n", "kept", lp.alias("lp"), if_kept(left).alias("left"), if_kept(home).alias("home"), if_kept(worth).alias("worth")))
+        return found.select("g", if_kept(F.col("context")).alias("context"), "n", "kept", lp.alias("lp"), if_kept(left).alias("left"), if_kept(home).alias("home"), if_kept(worth).alias("worth"))
+
+
+    def with_parents(self, pairs, parents, lowest):
+        """pairs (g, context, n) with p, the log probability that the parent gives the symbol."""
+        found = _meet(pairs, "parent", parents.select("g", F.col("lp").alias("p1")), self._often(parents))
+        if lowest is not None:  # a parent whose context is not in the tree has the probability of its own parent
+            found = _meet(found, "lower", lowest.select("g", F.col("lp").alias("p2")), self._often(lowest))
+        return found.select("g", "context", "n", (F.coalesce("p1", "p2") if lowest is not None else F.col("p1")).alias("p"))
+
+    def _gains(self, pairs, totals, hot, symbol_gain):
+        """pairs with own, the discounted frequency in the context, and gain, what the divergence from the parent is worth, if it is enough."""
+        found = pairs.withColumn("salt", _salt("context", hot))
+        found = found.join(_salted(totals.select("g", F.col("n").alias("total"), F.col("home").alias("c_home"), "worth"), hot), _same("context")).drop("m_g", "m_salt")
+        gain = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("p"))
+        own = (F.col("n") - self.discount) / F.col("total")
+        return found.withColumn("gain", F.when(gain > symbol_gain, gain)).withColumn("own", own).drop("total")
 
 
 _TEN = float(np.log(10))
@@ -329,18 +347,32 @@ _TEN = float(np.log(10))
 SALTS = 32
 
 
-def _meet(df, name, other, hot, how="left"):
-    """`df` with the columns of `other` (g, ...) where g is its column `name`; the keys in `hot` are dealt to SALTS places."""
-    salt = F.when(F.col(name).isin(hot), F.pmod("g", F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    salts = F.when(F.col("m_g").isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    if not hot:
-        return df.join(other.withColumnRenamed("g", "m_g"), F.col(name) == F.col("m_g"), how).drop("m_g")
-    other = other.withColumnRenamed("g", "m_g").withColumn("m_salt", F.explode(salts))
-    return df.withColumn("salt", salt).join(other, (F.col(name) == F.col("m_g")) & (F.col("salt") == F.col("m_salt")), how).drop("m_g", "m_salt", "salt")
+def _salt(name, hot):
+    zero = F.lit(0).cast("long")
+    return F.when(F.col(name).isin(hot), F.pmod("g", F.lit(SALTS).cast("long"))).otherwise(zero) if hot else zero
+
+
+def _salted(other, hot):
+    """other (g, ...) as (m_g, m_salt, ...): the keys in `hot` at each of SALTS places."""
+    zero = F.lit(0).cast("long")
+    salts = F.when(F.col("m_g").isin(hot), F.sequence(zero, zero + SALTS - 1)).otherwise(F.array(zero)) if hot else F.array(zero)
+    return other.withColumnRenamed("g", "m_g").withColumn("m_salt", F.explode(salts))
+
 
+def _same(name):
+    return (F.col(name) == F.col("m_g")) & (F.col("salt") == F.col("m_salt"))
 
-def train(docs: DataFrame, counts: DataFrame, depth: int = 3) -> Tree:
-    """The tree of docs (body), whose (g, n) counts of words should be a checkpoint."""
+
+def _meet(df, name, other, hot):
+    """`df` with the columns of `other` (g, ...) where g is its column `name`, null where none is."""
+    return df.withColumn("salt", _salt(name, hot)).join(_salted(other, hot), _same(name), "left").drop("m_g", "m_salt", "salt")
+
+
+def train(docs: DataFrame, depth: int = 3) -> Tree:
+    """The tree of docs (body)."""
+    spark = docs.sparkSession
+    counts, folder = written(word_counts(docs))
+    folders = [folder]
     tree = Tree(*counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))).first())
     root = F.greatest(F.col("n") - tree.discount, F.lit(1e-3)) / max(1, tree.n)
     parents = counts.select("g", "n", F.log(root).alias("lp"))
@@ -352,8 +384,12 @@ def train(docs: DataFrame, counts: DataFrame, depth: int = 3) -> Tree:
     _mark(tree.seen, totals)
     for level in range(1, depth + 1):
         pairs = pair_counts(docs, level, tree.seen, tree.n)
-        levels.append(tree.add_level(pairs, totals, parents, levels[-2] if level > 2 else None))
-        kept = levels[-1].filter("kept")
+        pairs, counted = written(tree.with_parents(pairs, parents, levels[-2] if level > 2 else None))
+        made, folder = written(tree.add_level(pairs, totals))
+        remove(spark, counted)
+        levels.append(made)
+        folders.append(folder)
+        kept = made.filter("kept")
         parts.append(kept.select("g", "home", "n", none.alias("known"), nothing.alias("base"), F.col("worth").alias("score")))
         # What a context leaves to its parent counts wherever it stands, so it is added to its own row.
         contexts = kept.groupBy("context").agg(F.first("left").alias("left"))
@@ -363,11 +399,13 @@ def train(docs: DataFrame, counts: DataFrame, depth: int = 3) -> Tree:
         _mark(tree.seen, kept)
         # The runs after a very frequent one are relative to it, and dealt by their own hash.
         worth = F.when(F.col("n") < tree.hot_n, F.col("worth"))
-        totals, parents = kept.select("g", "n", "home", worth.alias("worth")), levels[-1]
+        totals, parents = kept.select("g", "n", "home", worth.alias("worth")), made
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    tree.weights = cut(every.groupBy("g").agg(F.max("home").alias("home"), F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    tree.weights, _ = written(every.groupBy("g").agg(F.max("home").alias("home"), F.max("n").alias("n"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")))
+    for folder in folders:
+        remove(spark, folder)
     hot = tree.weights.filter((F.col("known") == 0) & (F.col("n") >= tree.hot_n)).select("g", "score").collect()  # at most 1,024 a level
     order = np.argsort(np.array([r.g for r in hot], np.int64).view(U64))
     tree.hot = (np.array([r.g for r in hot], np.int64).view(U64)[order], np.array([r.score for r in hot], np.float64)[order])
@@ -571,7 +609,7 @@ def report(docs: DataFrame, depth: int = 3, **options) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc", 5) == 1, F.lit(False))
     chosen = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
     training = chosen.filter(~held_out)
-    tree = train(training, cut(word_counts(training)), depth)
+    tree = train(training, depth)
     scored = score(chosen, tree, depth, **options)
     return scored.select(
         F.col("doc").alias("doc_id"),

@@ -3,6 +3,7 @@
 import pickle
 import re
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -63,6 +64,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """A table of `df` in the shared folder, and its path for `remove`; unlike a checkpoint it is read by columns."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    small_batches(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def share(spark: SparkSession, value):
     """A broadcast of any object, as a function that returns it on an executor.
 
