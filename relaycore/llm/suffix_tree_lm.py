@@ -57,7 +57,7 @@ _FLUSH = 1 << 21
 _CHUNK_BYTES, _CHUNK_ROWS = 1 << 21, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
-_CACHE_BITS = 20
+_CACHE_BITS = 18
 
 
 def _join(context, symbol):
@@ -114,9 +114,13 @@ def _batch(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
-def _counted(docs, columns_of, width, bits, least):
-    """Rows of `width` hashes that columns_of() yields, by the first: how often, if at least `least` times."""
+def _counted(docs, columns_of, width, bits, least, joined=False):
+    """Rows of `width` hashes that columns_of() yields, by the first: how often, if at least `least` times.
+
+    With `joined` the first is the run of the second and the third, and is not sent.
+    """
     names = [f"h{k}" for k in range(width)]
+    sent = slice(1 if joined else 0, None)
 
     def run(batches):
         columns, held, size = columns_of(), [], 0
@@ -133,10 +137,12 @@ def _counted(docs, columns_of, width, bits, least):
         rows = np.concatenate(held, axis=1)
         keys, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
         rows, counts = rows[:, first], counts.astype(np.uint32)
-        return _batch(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [(b, rows[:, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
+        return _batch(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [(b, rows[sent, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
 
     def total(table):
-        rows = np.concatenate([np.frombuffer(k, U64).reshape(width, -1) for k in table.column("keys").to_pylist()], axis=1)
+        rows = np.concatenate([np.frombuffer(k, U64).reshape(width - joined, -1) for k in table.column("keys").to_pylist()], axis=1)
+        if joined:
+            rows = np.concatenate([_join(rows[0], rows[1])[None], rows])
         _, first, of = np.unique(rows[0], return_index=True, return_inverse=True)
         n = np.bincount(of, np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)).astype(np.int64)
         kept = n >= least
@@ -224,15 +230,15 @@ def _pairs(bodies, level, seen=None, often=None):
 
 def pair_counts(docs: DataFrame, level: int, seen, n: int) -> DataFrame:
     """(g, context, parent, lower, n) of a level's pairs that occur at least `LEAST` times."""
-    # Most pairs of the first levels are rare: a first pass over short hashes leaves them out.
+    # Most pairs are rare: a first pass over short hashes leaves them out.
     # It has applied the other filter; what either passes wrongly finds no context in the tree, or is too rare.
-    shared = share(docs.sparkSession, (None, frequent_pairs(docs, level, seen, n)) if level < 3 else (seen, None))
+    shared = share(docs.sparkSession, frequent_pairs(docs, level, seen, n))
 
     def columns_of():
-        seen, often = shared()
-        return lambda bodies: _pairs(bodies, level, seen, often)
+        often = shared()
+        return lambda bodies: _pairs(bodies, level, often=often)
 
-    counted = _counted(docs, columns_of, 4 if level > 2 else 3, _bits(docs.sparkSession, n), LEAST)
+    counted = _counted(docs, columns_of, 4 if level > 2 else 3, _bits(docs.sparkSession, n), LEAST, joined=level == 1)
     return counted.select(F.col("h0").alias("g"), F.col("h1").alias("context"), F.col("h2").alias("parent"), F.col("h3" if level > 2 else "h2").alias("lower"), "n")
 
 
