@@ -52,6 +52,8 @@ def _audit(spark, args):
 def _replay(spark, args):
     traces.check_output(args.out, args.trace)
     module, _, name = args.validator.partition(":")
+    if not module or not name:
+        raise ValueError("the validator must be given as module:function")
     sys.path.insert(0, "")
     code = importlib.import_module(module)
     if code.__name__.split(".")[0] != __package__:
@@ -60,7 +62,8 @@ def _replay(spark, args):
         cloudpickle.register_pickle_by_value(code)  # executors have no copy of the caller's module
     stages = traces.read_handoffs(spark, args.trace)
     last = F.element_at("handoffs", -1)["text"]
-    rows = stages.select("trace_id", "evidence", "requirements", F.element_at("handoffs", 1)["text"].alias("original"), last.alias("candidate"))
+    first = F.when(F.size("handoffs") > 1, F.element_at("handoffs", 1)["text"])  # a lone hand-off has no baseline
+    rows = stages.select("trace_id", "evidence", "requirements", first.alias("original"), last.alias("candidate"))
     done = [r.asDict(recursive=True) for r in replay.diagnose(rows, getattr(code, name), args.max_evaluations, args.max_added_tokens).collect()]
     traces.write_json({"replays": done}, args.out, args.trace)
     return 0 if all(r["success"] for r in done) else 1

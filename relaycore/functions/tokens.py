@@ -1,5 +1,8 @@
 """Token estimates and model lookups as Column expressions."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Model name prefixes, and prices in USD per million input, cached input and output tokens.
@@ -42,6 +45,30 @@ def heuristic_tokens(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.greatest(F.lit(1.0), F.bround(total, 0)).cast("bigint")).cast("bigint")
 
 
+def exact_tokens(text: Column, tokenizer: str) -> Column:
+    """Tokens of a tokenizer file (a path on every executor), an Arrow batch at a time; null for null."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(tokenizer)
+        for texts in batches:
+            known = texts.dropna()
+            sizes = [len(e.ids) for e in encoder.encode_batch(known.tolist(), add_special_tokens=False)]
+            yield pd.Series(sizes, index=known.index, dtype="Int64").reindex(texts.index)
+
+    return count(text)
+
+
+def counter(model: str, tokenizers: dict[str, str] | None = None):
+    """(tier, function of a text column) for a model: exact where `tokenizers` names a file for a prefix of it, the longest first, else the estimate."""
+    fits = sorted((p for p in tokenizers or {} if model.lower().startswith(p.lower())), key=len)
+    if fits:
+        return "exact", lambda text: exact_tokens(text, tokenizers[fits[-1]])
+    return "estimate", heuristic_tokens
+
+
 def count_with_tier(text: Column, model: str = "unknown") -> Column:
     return F.struct(heuristic_tokens(text).alias("tokens"), F.lit("estimate").alias("tier"), F.lit(model).alias("model"))
 

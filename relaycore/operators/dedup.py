@@ -29,14 +29,20 @@ def store_hits(rows: DataFrame) -> DataFrame:
 
 def context_hits(rows: DataFrame) -> DataFrame:
     """Blocks that occur in an earlier turn, with the latest such place and the reference text."""
-    earlier = rows.select(F.col("conv_id").alias("h_conv"), F.col("sha").alias("h_sha"), F.col("turn").alias("h_turn"), F.col("block_idx").alias("h_block"))
-    met = rows.filter(F.col("tokens") >= LEAST_TOKENS).join(earlier, (F.col("conv_id") == F.col("h_conv")) & (F.col("sha") == F.col("h_sha")) & (F.col("h_turn") < F.col("turn")))
-    last = F.max(F.struct("h_turn", "h_block"))
-    found = met.groupBy("conv_id", "turn", "block_idx", "sha", "tokens").agg(last.alias("at"))
-    text = F.concat(F.lit("[ref "), handle(F.col("sha")), F.lit(": see earlier message "), F.col("at.h_turn") + 1, F.lit(", paragraph "), F.col("at.h_block") + 1, F.lit("]"))
-    return found.withColumn("reference", text).filter(heuristic_tokens(F.col("reference")) < F.col("tokens")).drop("at")
+    earlier = Window.partitionBy("conv_id", "sha").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("at", F.max(F.struct("turn", "block_idx")).over(earlier)).filter((F.col("tokens") >= LEAST_TOKENS) & F.col("at").isNotNull())
+    text = F.concat(F.lit("[ref "), handle(F.col("sha")), F.lit(": see earlier message "), F.col("at.turn") + 1, F.lit(", paragraph "), F.col("at.block_idx") + 1, F.lit("]"))
+    return found.select("conv_id", "turn", "block_idx", "sha", "tokens", text.alias("reference")).filter(heuristic_tokens(F.col("reference")) < F.col("tokens"))
 
 
 def content_store(rows: DataFrame) -> DataFrame:
     """Every distinct block of a session once, under its handle."""
     return rows.groupBy("conv_id", "sha").agg(F.min("block").alias("block")).withColumn("handle", handle(F.col("sha")))
+
+
+def rehydrate(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """wanted (conv_id, handle) with the block that a content store holds for it; `error` names a handle that it lacks."""
+    held = store.select(F.col("conv_id").alias("s_conv"), F.col("handle").alias("s_handle"), "block")
+    joined = wanted.join(held, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("handle") == F.col("s_handle")), "left")
+    unknown = F.concat(F.lit("unknown handle: "), F.coalesce("handle", F.lit("null")))
+    return joined.select(*wanted.columns, "block", F.when(F.col("block").isNull(), unknown).alias("error"))

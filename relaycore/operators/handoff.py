@@ -3,9 +3,16 @@
 from pyspark.sql import DataFrame, functions as F
 
 
+def _contracts(requirements: DataFrame, *fields: str) -> DataFrame:
+    """The requirements of each chain as one array, so that a stage's text meets them in one row."""
+    return requirements.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("needs"))
+
+
 def audit(requirements: DataFrame, handoffs: DataFrame) -> DataFrame:
     """Per chain, requirement and stage: is the quote in the text?  Joined by chain_id."""
-    return requirements.join(handoffs, "chain_id").select("chain_id", "requirement_id", "idx", "stage", F.contains("text", "quote").alias("present"))
+    held = handoffs.join(_contracts(requirements, "requirement_id", "quote"), "chain_id")
+    seen = F.transform("needs", lambda r: F.struct(r["requirement_id"].alias("requirement_id"), F.contains(F.col("text"), r["quote"]).alias("present")))
+    return held.select("chain_id", "idx", "stage", F.explode(seen).alias("r")).select("chain_id", "r.requirement_id", "idx", "stage", "r.present")
 
 
 def losses(audited: DataFrame) -> DataFrame:
@@ -24,9 +31,8 @@ def repair(requirements: DataFrame, handoffs: DataFrame) -> DataFrame:
     requirements: chain_id, ord, requirement_id, evidence_id, source, quote.  A quote that an
     earlier restored one contains is not appended again; citations never count as text.
     """
-    joined = handoffs.join(requirements, "chain_id")
-    lost = F.when(~F.contains("text", "quote"), F.struct("ord", "requirement_id", "evidence_id", "source", "quote"))
-    found = joined.groupBy("chain_id", "idx", "text").agg(F.array_sort(F.collect_list(lost)).alias("lost"))
+    held = handoffs.join(_contracts(requirements, "ord", "requirement_id", "evidence_id", "source", "quote"), "chain_id")
+    found = held.select("chain_id", "idx", "text", F.filter("needs", lambda r: ~F.contains(F.col("text"), r["quote"])).alias("lost"))
     quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
 
     def append(done, x):

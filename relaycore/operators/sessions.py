@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.tokens import KEEP_RATIO
+from ..functions.tokens import KEEP_RATIO, estimate_cost
 from . import compress, segmenting
 from .messages import LEAST_CHARS, PAYLOAD_ROLES, segments, is_structured
 
@@ -102,6 +102,8 @@ class Processor:
             raise _Unsafe("protected payload span mismatch")
         sent = {key: changed if key == "content" else value for key, value in message.items()}
         self.payload(sent)
+        if fingerprint(sent) != fingerprint(message):
+            raise _Unsafe("structural round-trip mismatch")
         after = self.cost(sent)
         if after > before:
             raise _Unsafe("processing increased token count")
@@ -128,6 +130,12 @@ class _Unsafe(Exception):
     pass
 
 
+def fingerprint(message: dict) -> str:
+    """A hash of all of a message but its content, and of the kind of that."""
+    rest = {k: v for k, v in message.items() if k != "content"} | {"content": type(message.get("content")).__name__}
+    return digest(json.dumps(rest, ensure_ascii=False, default=str))
+
+
 def digest(block: str) -> str:
     return hashlib.sha256(block.encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -246,7 +254,8 @@ def records(processed: DataFrame, source="source", target="target") -> DataFrame
     """Hand-off records of processed messages: adds edge, ratio, tokens saved and cost where source and target exist."""
     name = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("?"))
     ratio = F.when(F.col("tokens_before") == 0, 1.0).otherwise(F.col("tokens_after") / F.col("tokens_before"))
-    return processed.withColumn("edge", F.concat(name(source), F.lit("->"), name(target))).withColumn("ratio", ratio).withColumn("tokens_saved", F.col("tokens_before") - F.col("tokens_after"))
+    made = processed.withColumn("edge", F.concat(name(source), F.lit("->"), name(target))).withColumn("ratio", ratio).withColumn("tokens_saved", F.col("tokens_before") - F.col("tokens_after"))
+    return made.withColumn("cost_before", estimate_cost(F.col("tokens_before"), F.col("model"))).withColumn("cost_after", estimate_cost(F.col("tokens_after"), F.col("model")))
 
 
 def by_edge(records: DataFrame) -> DataFrame:

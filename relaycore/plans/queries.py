@@ -16,12 +16,6 @@ def _table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _spread(df):
-    """`df` over all cores where its few files give fewer tasks than cores; larger tables are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _docs(spark, d):
     return _table(spark, d, "documents").select("doc_id", "text")
 
@@ -150,7 +144,7 @@ def audit_losses(spark, d):
 
 
 def repair_chains(spark, d):
-    return handoff.repair(*_chains(spark, d)).select("chain_id", "idx", "n_restored", F.length("repaired").cast("long").alias("n_chars"))
+    return handoff.repair(*_chains(spark, d)).select("chain_id", "idx", "n_restored", F.sha2(F.col("repaired").cast("binary"), 256).alias("sha256"))
 
 
 def evidence_hashes(spark, d):
@@ -159,7 +153,7 @@ def evidence_hashes(spark, d):
 
 def _compressed(strategy, keep):
     def query(spark, d):
-        out = _spread(_table(spark, d, "conversations")).withColumn("after", compress.compress(F.col("text"), strategy, keep))
+        out = _table(spark, d, "conversations").withColumn("after", compress.compress(F.col("text"), strategy, keep))
         return out.select("conv_id", "turn", tokens.heuristic_tokens(F.col("text")).alias("tokens_before"), tokens.heuristic_tokens(F.col("after")).alias("tokens_after"), "after")
 
     return query
@@ -174,7 +168,7 @@ def _raw(spark, d):
 
 def _session(strategy, **settings):
     def query(spark, d):
-        rows = _spread(_raw(spark, d).select("conv_id", "turn", "raw"))
+        rows = _raw(spark, d).select("conv_id", "turn", "raw")
         done = sessions.process(rows, sessions.Processor("gpt-4.1", strategy, dedup=None, **settings))
         return done.select("conv_id", "turn", "tokens_before", "tokens_after", "fell_back", "fallback_reason", "sent")
 
@@ -188,12 +182,12 @@ def session_off(spark, d):
 
 def session_store(spark, d):
     """Blocks that a session with a store of blocks replaces."""
-    return sessions.process_all(_raw(spark, d), sessions.Processor("gpt-4.1", "telegraphic", dedup="store")).select("conv_id", "turn", "dedup_hits")
+    return sessions.process_all(_raw(spark, d), sessions.Processor("gpt-4.1", compressor=lambda text, keep: text, dedup="store")).select("conv_id", "turn", "dedup_hits")
 
 
 def session_new(spark, d):
     """Blocks of a conversation's last message that its history holds."""
-    return sessions.process_new(_raw(spark, d), sessions.Processor("gpt-4.1", "telegraphic")).select("conv_id", "turn", "dedup_hits")
+    return sessions.process_new(_raw(spark, d), sessions.Processor("gpt-4.1", compressor=lambda text, keep: text)).select("conv_id", "turn", "dedup_hits")
 
 
 def session_all(spark, d):
@@ -302,15 +296,22 @@ x as (select doc_id, unnest(range(len(l)))::int as idx, unnest(l) as t from s)
 select doc_id, idx, round(case when regexp_matches(t, '\p{{Nd}}') then 0.6::double else 0 end + case when regexp_matches(t, '{_NEEDED}') then 0.6::double else 0 end + case when regexp_matches(t, '[a-z,;] [A-Z][a-z]+') then 0.3::double else 0 end, 3) as salience from x"""
 _REPAIRED = f"""with {_CHAINS}, lost as (select s.chain_id, s.idx, n.ord, n.quote from stages s join needs n using (chain_id) where not contains(s.text, n.quote)),
 kept as (select * from lost l where not exists (select 1 from lost e where e.chain_id = l.chain_id and e.idx = l.idx and e.ord < l.ord and contains(e.quote, l.quote))),
-grown as (select chain_id, idx, sum(length(chr(10) || chr(10) || '[Source clause {{"requirement": "' || ord::varchar || '", "evidence": "e", "source": "doc"}}]' || chr(10) || quote)) as more from kept group by all),
+grown as (select chain_id, idx, string_agg(chr(10) || chr(10) || '[Source clause {{"requirement": "' || ord::varchar || '", "evidence": "e", "source": "doc"}}]' || chr(10) || quote, '' order by ord) as more from kept group by all),
 missed as (select chain_id, idx, count(*) as n from lost group by all)
-select chain_id, idx, coalesce(n, 0) as n_restored, (length(text) + coalesce(more, 0))::bigint as n_chars from stages left join missed using (chain_id, idx) left join grown using (chain_id, idx)"""
+select chain_id, idx, coalesce(n, 0) as n_restored, sha256(text || coalesce(more, '')) as sha256 from stages left join missed using (chain_id, idx) left join grown using (chain_id, idx)"""
 _PROFILES = f"""with m as (select unnest(['gpt-4.1-mini-2025', 'GPT-4.1', 'gpt-4o-x', 'o3-pro', 'claude-opus-4-1', 'claude-2', 'other']) as model),
 p as (select * from (values {",".join(f"('{n}', {price}::double)" for n, _, price, _, _ in tokens.PRICES)}) t(name, price))
 select model, case when regexp_matches(lower(model), '^({"|".join(tokens.OPENAI_PREFIXES)})') then 'openai' when starts_with(lower(model), 'claude') then 'anthropic' else 'unknown' end as family, arg_max(name, length(name)) as profile, arg_max(price, length(name)) as input_price
 from m left join p on starts_with(lower(model), name) group by model"""
 
+_SEGMENTS = rf"""with d as (select doc_id, text || chr(10) || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10) as body from documents),
+split as (select doc_id, regexp_split_to_array(body, '\n[ \t]*\n') as p, regexp_extract_all(body, '\n[ \t]*\n') as g from d),
+mixed as (select doc_id, list_filter(flatten(list_transform(range(1, len(p) + 1), lambda i: [p[i], coalesce(g[i], '')])), lambda x: x <> '') as l from split),
+listed as (select doc_id, list_concat(list_transform(l, lambda x: {{'kind': case when regexp_matches(x, '^\s*\|[^\n]*\n[ \t]*\|') then 'protected' else 'text' end, 'text': x}}), [{{'kind': 'protected', 'text': '```' || chr(10) || 'code' || chr(10) || chr(10) || 'more' || chr(10) || '```'}}, {{'kind': 'text', 'text': chr(10) || 'end'}}]) as l from mixed)
+select doc_id, (unnest(range(len(l))))::int as idx, unnest(list_transform(l, lambda x: x.kind)) as kind, unnest(list_transform(l, lambda x: x.text)) as text from listed"""
+
 ORACLE_SQL = {
+    "segment_rows": _SEGMENTS,
     "telegraph_text": _TELEGRAPH,
     "sentence_salience": _SALIENCE,
     "repair_chains": _REPAIRED,

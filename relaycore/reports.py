@@ -59,8 +59,8 @@ def summary(records: DataFrame) -> str:
     return "\n\n".join(out)
 
 
-def to_html(records: DataFrame, most_rows: int = 1000) -> str:
-    """A page without outside parts: totals, edges with bars by the largest, and the first `most_rows` hand-offs."""
+def to_html(records: DataFrame, most_rows: int | None = None) -> str:
+    """A page without outside parts: totals, edges with bars by the largest, and every hand-off (or the first `most_rows`)."""
     found = _figures(records)
     if found is None:
         return "<p>No handoffs recorded.</p>"
@@ -69,8 +69,9 @@ def to_html(records: DataFrame, most_rows: int = 1000) -> str:
     cells = lambda *values: "<tr>" + "".join(f"<td>{v}</td>" for v in values) + "</tr>"
     edge_rows = [cells(escape(e.edge), e.handoffs, f"{e.tokens_before:,}", f"{e.tokens_after:,}", f"{e.tokens_before - e.tokens_after:,}", f"<div style='background:#57c;height:9px;width:{100 * e.tokens_before / largest:.0f}%'></div>") for e in edges]
     keys = [c for c in ("index", "conv_id", "turn") if c in records.columns]
+    listed = records.orderBy(*keys or ["edge"])
     notes = lambda r: f"fallback: {escape(r.fallback_reason or '')}" if r.fell_back else f"{r.dedup_hits} dedup hit(s)" if r.dedup_hits else ""
-    each = [cells(escape(r.edge), f"{r.tokens_before:,}", f"{r.tokens_after:,}", f"{r.ratio:.3f}", r.tier, notes(r)) for r in records.orderBy(*keys or ["edge"]).limit(most_rows).collect()]
+    each = [cells(escape(r.edge), f"{r.tokens_before:,}", f"{r.tokens_after:,}", f"{r.ratio:.3f}", r.tier, notes(r)) for r in (listed if most_rows is None else listed.limit(most_rows)).toLocalIterator()]
     part = lambda title, heads, rows: f"<h2>{title}</h2><table><tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>" + "\n".join(rows) + "</table>"
     return (
         "<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Hand-off profile</title></head><body><h1>Hand-off profile</h1>"

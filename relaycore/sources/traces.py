@@ -68,7 +68,7 @@ def read_handoffs(spark: SparkSession, path) -> DataFrame:
 
 def write_profile(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Hand-off records as JSON lines; derived columns are not stored."""
-    records.drop("edge", "ratio", "tokens_saved", "cost").write.mode(mode).json(path)
+    records.drop("edge", "ratio", "tokens_saved", "cost_before", "cost_after").write.mode(mode).json(path)
 
 
 def read_profile(spark: SparkSession, path) -> DataFrame:

@@ -30,3 +30,13 @@ def test_audit_and_replay(spark, tmp_path, monkeypatch, capsys):
     assert json.loads(capsys.readouterr().out)["replays"][0]["status"] == "repaired"
     assert main(["replay", trace, "--validator", "mycheck:never"], spark) == 1
     assert main(["replay", trace, "--validator", "none:check"], spark) == 2
+
+
+def test_a_lone_handoff_has_no_baseline(spark, tmp_path, monkeypatch, capsys):
+    evidence, needs = [{"id": "e", "text": "keep it", "source": "s"}], [{"id": "r", "evidence_id": "e", "quote": "keep it"}]
+    trace = write(tmp_path / "one.json", {"contract": {"evidence": evidence, "requirements": needs}, "handoffs": [{"stage": "a", "text": "keep it"}]})
+    write(tmp_path / "lonecheck.py", "def check(text):\n    return True, {}, ''\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert main(["replay", trace, "--validator", "lonecheck:check"], spark) == 1
+    assert json.loads(capsys.readouterr().out)["replays"][0]["status"] == "baseline_unavailable"
+    assert main(["replay", trace, "--validator", "lonecheck"], spark) == 2

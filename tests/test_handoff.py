@@ -67,3 +67,31 @@ def test_kernels_never_cost_more(name):
     out = compress.STRATEGIES[name](text, 0.5)
     assert compress.count_tokens(out) <= compress.count_tokens(text)
     assert not re.search("in order to", out) or name == "naive"
+
+
+def test_context_hits_and_audit_make_no_pairs(spark):
+    rows = spark.createDataFrame([(1, k, "one block of text " * 12) for k in range(40)], "conv_id int, turn int, text string")
+    assert "Join" not in dedup.context_hits(dedup.block_rows(rows))._jdf.queryExecution().executedPlan().toString()
+    needs = spark.createDataFrame([(1, str(k), "q") for k in range(3)], "chain_id int, requirement_id string, quote string")
+    stages = spark.createDataFrame([(1, k, "s", "q") for k in range(4)], "chain_id int, idx int, stage string, text string")
+    assert handoff.audit(needs, stages).filter("present").count() == 12
+
+
+def test_rehydrate_names_unknown_handles(spark):
+    store = dedup.content_store(dedup.block_rows(spark.createDataFrame([(1, 0, "a block")], "conv_id int, turn int, text string")))
+    handle = store.first().handle
+    wanted = spark.createDataFrame([(1, handle), (1, "lc:none"), (2, handle), (1, None)], "conv_id int, handle string")
+    got = {(r.conv_id, r.handle): (r.block, r.error) for r in dedup.rehydrate(wanted, store).collect()}
+    assert got[(1, handle)] == ("a block", None)
+    assert got[(1, "lc:none")] == (None, "unknown handle: lc:none") and got[(2, handle)][0] is None and got[(1, None)][1] == "unknown handle: null"
+
+
+def test_exact_counts_where_a_tokenizer_is_named(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tier, count = tokens.counter("my-model-2", {"my-": "/nowhere", "my-model": path})
+    texts = ["", "two words", "漢字", "x" * 50]
+    assert tier == "exact" and values(spark, count, texts) == [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens.counter("other", {"my-model": path}) == ("estimate", tokens.heuristic_tokens)
