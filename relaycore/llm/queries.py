@@ -68,4 +68,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op3_decontamination": op3_decontamination,
 }
-ORACLE_SQL = {"op2_line_quality": oracles.LINE_QUALITY, "op3_decontamination": oracles.DECONTAMINATION, "op8_ngram_join": oracles.NGRAM_JOIN}
+ORACLE_SQL = {"op2_line_quality": oracles.LINE_QUALITY, "op3_decontamination": oracles.DECONTAMINATION, "op7_license_scan": oracles.LICENSE_SCAN, "op8_ngram_join": oracles.NGRAM_JOIN}

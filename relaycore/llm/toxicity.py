@@ -217,7 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Scorer:
 
     # The sample is bounded, so one executor fits the models and the driver only passes them on.
     sample = rows.repartition(1)
-    return pickle.loads(sample.mapInArrow(train, "scorer binary").first().scorer)
+    made = sample.mapInArrow(train, "scorer binary").first()
+    return pickle.loads(made.scorer) if made else Scorer([])  # no document has a label
 
 
 def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "toxicity", carry: list[str] | None = None) -> DataFrame:
