@@ -63,12 +63,12 @@ LICENSE_SCAN = f"""
 with docs as (select doc_id, {_PLAIN} as w, {_LOW} as low from documents),
 templates(label, words, size) as (values {",".join(f"('{label}', {_QUOTED(sorted(set(words)))}, {max(16, 1 << (2 * len(words) - 1).bit_length())})" for label, words in _LICENSE_ROWS)}),
 phrases(label, words) as (values {",".join(f"('{label}', {_QUOTED(phrase.split())})" for phrase, label in PHRASES)}),
-places as (select doc_id, label, pos - 1 as at from (select doc_id, label, words, w, unnest(range(1, len(w) - len(words) + 2)) as pos from docs, phrases where len(w) >= len(words)) where w[pos:pos + len(words) - 1] = words),
-based as (select doc_id, count(*) as n, min(at) as first_word, max(at) as last_word, list(distinct label) as labels from places group by doc_id),
-some as (select d.doc_id, t.* from docs d join templates t on 100 * len(list_intersect(d.w, t.words)) >= 92 * len(t.words)),
-blocks as (select doc_id, 0 as size, regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from (select doc_id, unnest(string_split(low, chr(10))) as line from docs where doc_id in (select doc_id from some))
- union all select doc_id, size, w[at + 1:at + size] from (select doc_id, w, size, unnest(range(0, len(w), size // 2)) as at from docs join (select distinct doc_id, size from some) using (doc_id))),
-met as (select s.doc_id, s.label, max(len(list_intersect(b.words, s.words)) / len(s.words)) as held from some s join blocks b on b.doc_id = s.doc_id and b.size in (0, s.size) group by all having max(100 * len(list_intersect(b.words, s.words)) - 92 * len(s.words)) >= 0),
+places as (select doc_id, label, pos - 1 as place from (select doc_id, label, words, w, unnest(range(1, len(w) - len(words) + 2)) as pos from docs, phrases where len(w) >= len(words)) where w[pos:pos + len(words) - 1] = words),
+based as (select doc_id, count(*) as n, min(place) as first_word, max(place) as last_word, list(distinct label) as labels from places group by doc_id),
+possible as (select d.doc_id, t.* from docs d join templates t on 100 * len(list_intersect(d.w, t.words)) >= 92 * len(t.words)),
+blocks as (select doc_id, 0 as size, regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from (select doc_id, unnest(string_split(low, chr(10))) as line from docs where doc_id in (select doc_id from possible))
+ union all select doc_id, size, w[place + 1:place + size] from (select doc_id, w, size, unnest(range(0, len(w), size // 2)) as place from docs join (select distinct doc_id, size from possible) using (doc_id))),
+met as (select s.doc_id, s.label, max(len(list_intersect(b.words, s.words)) / len(s.words)) as held from possible s join blocks b on b.doc_id = s.doc_id and b.size in (0, s.size) group by all having max(100 * len(list_intersect(b.words, s.words)) - 92 * len(s.words)) >= 0),
 more as (select doc_id, list(distinct label) as labels, max(held) as held from met group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(array_to_string(list_sort(based.labels), ','), '') as base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(more.labels, [])))), ','), '') as labels, case when n > 0 then 1.0::double else coalesce(held, 0)::double end as score
