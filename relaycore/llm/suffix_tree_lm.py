@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textbytes as tb
 from .exchange import by_bucket
-from .tables import bucket_count, crc_mod, remove, share, written
+from .tables import bucket_count, crc_mod, release, remove, share, written
 
 U64 = np.uint64
 _RUN = U64(0xA24BAED4963EE407)
@@ -279,6 +279,7 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
     packed = docs.select("body").mapInArrow(run, "bucket int, rests binary")
     for row in packed.groupBy("bucket").applyInArrow(total, "part long, marks binary").toLocalIterator():
         out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.marks, np.uint8)
+    release(spark)
     return out
 
 

@@ -1,5 +1,6 @@
 """Reading the input tables and cutting lineage in the shared folder."""
 
+import gc
 import pickle
 import re
 import tempfile
@@ -57,6 +58,16 @@ def free_names(columns, *wanted: str) -> list[str]:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished steps go.
+
+    Spark deletes them when the driver's objects that name them are collected, here
+    and in the JVM; by itself that may be half an hour later, and steps pile up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -70,6 +81,7 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
