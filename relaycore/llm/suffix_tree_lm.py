@@ -521,11 +521,25 @@ class _Asker:
         return n, known, base, score, asked
 
 
-def score(docs: DataFrame, tree: Tree, depth: int = 3, cache_rows: int = 1 << _CACHE_BITS) -> DataFrame:
-    """docs (doc, body) to (doc, n_tokens, n_known, base_score, score), a row each."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, tree: Tree, depth: int = 3, cache_rows: int = 1 << _CACHE_BITS, passes: int = 4) -> DataFrame:
+    """docs (doc, body) to (doc, n_tokens, n_known, base_score, score), a row each.
+
+    Every row is scored, in `passes` parts by hash of doc, each written before the next
+    one begins, so what is asked for at once takes a part of the disk only.
+    """
     cache = _Cache(_frequent(tree.weights, cache_rows), min(_CACHE_BITS, max(10, int(tree.n).bit_length())))
-    shared = share(spark, _Asker(tree.seen, tree.hot, cache, depth))
+    shared = share(docs.sparkSession, _Asker(tree.seen, tree.hot, cache, depth))
+    out = None
+    for k in range(passes):
+        mine = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(passes).cast("long")) == k)
+        part, _ = written(_scored(mine, tree, shared))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored(docs, tree, shared):
+    """docs (doc, body) to the rows of `score`, at once."""
+    spark = docs.sparkSession
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), (int(tree.n) >> 22).bit_length())
     unknown, default = float(np.log10(tree.unknown)), tree.base
     kind = docs.schema["doc"].dataType.simpleString()

@@ -272,6 +272,17 @@ def test_suffix_tree_learns_contexts_of_any_word(spark):
     assert joined == pytest.approx(got)
 
 
+def test_suffix_tree_scores_alike_in_any_number_of_passes(spark):
+    """Every row is in one pass, null and repeated ones too."""
+    rows = [(i % 30, prose(60) + f" w{i % 4}") for i in range(40)] + [(None, "alpha beta"), (None, None), (3, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once, split = (sorted(suffix_tree_lm.report(df, passes=k).collect(), key=repr) for k in (1, 3))
+    assert len(once) == len(rows)
+    assert [r[:-2] for r in split] == [r[:-2] for r in once]
+    for name in ("base_score", "score"):
+        assert [r[name] for r in split] == pytest.approx([r[name] for r in once])
+
+
 def test_toxicity_trains_on_whole_texts(spark):
     """The toxic words of all training texts stand behind 5,000 ordinary ones."""
     rows = [(i, prose(5000) + (" awful nasty vile" if i % 3 == 0 else "")) for i in range(60)]
