@@ -53,7 +53,7 @@ _RUN = U64(0xA24BAED4963EE407)
 STOP = U64(0x5851F42D4C957F2D)
 #: A pair is tested for divergence when it occurs this often.
 LEAST = 3
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 _CHUNK_BYTES, _CHUNK_ROWS = 1 << 21, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
@@ -135,6 +135,7 @@ def _counted(docs, columns_of, width, bits, least, joined=False):
 
     def pack(held):
         rows = np.concatenate(held, axis=1)
+        held.clear()
         keys, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
         rows, counts = rows[:, first], counts.astype(np.uint32)
         return _batch(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [(b, rows[sent, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
@@ -264,7 +265,9 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
             yield pack(held)
 
     def pack(held):
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        keys = np.concatenate(held)
+        held.clear()
+        keys, counts = np.unique(keys, return_counts=True)
         keys = np.repeat(keys, np.minimum(counts, LEAST))
         rest = (keys >> U64(32 - bits)).astype(np.uint32)
         return _batch(["bucket", "rests"], [pa.int32(), pa.binary()], [(b, rest[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
