@@ -198,7 +198,7 @@ def _mark(seen, keys: DataFrame):
         return pa.table({"part": pa.array([part]), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     parts = keys.select("g", F.shiftrightunsigned("g", 64 - _SLICE_BITS).alias("part")).groupBy("part").applyInArrow(slice_of, "part long, marks binary")
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # as many bytes as the filter has, and one job, not one a partition
         at = row.part * width // 8
         seen[at : at + width // 8] |= np.frombuffer(row.marks, np.uint8)
 
@@ -280,7 +280,7 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
 
     out = np.zeros(len(seen), np.uint8)
     packed = docs.select("body").mapInArrow(run, "bucket int, rests binary")
-    for row in packed.groupBy("bucket").applyInArrow(total, "part long, marks binary").toLocalIterator():
+    for row in packed.groupBy("bucket").applyInArrow(total, "part long, marks binary").collect():  # no more bytes than the filter
         out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.marks, np.uint8)
     release(spark)
     return out
