@@ -53,7 +53,7 @@ _RUN = U64(0xA24BAED4963EE407)
 STOP = U64(0x5851F42D4C957F2D)
 #: A pair is tested for divergence when it occurs this often.
 LEAST = 3
-_FLUSH = 1 << 19
+_FLUSH = 1 << 20
 _CHUNK_BYTES, _CHUNK_ROWS = 1 << 21, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
