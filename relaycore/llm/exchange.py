@@ -122,7 +122,7 @@ def repeat_sketch(df: DataFrame, hashes_of) -> RepeatSketch:
     packed = df.mapInArrow(send, "bucket int, once binary, many binary, counts binary")
     slices = packed.groupBy("bucket").applyInArrow(summarise, "bucket int, marks binary, classes binary")
     filters, classes = np.zeros((buckets, width // 8), np.uint8), np.zeros((buckets, slots), np.uint8)
-    for row in slices.toLocalIterator():
+    for row in slices.collect():  # as many bytes as the sketch has, and one job, not one a partition
         filters[row.bucket] = np.frombuffer(row.marks, np.uint8)
         classes[row.bucket] = np.frombuffer(row.classes, np.uint8)
     return RepeatSketch(bits, filters, classes)
