@@ -20,6 +20,8 @@ FLUSH = 1 << 20
 #: Bits of the whole filter, and bytes of the frequency classes, at most.
 FILTER_BITS = 1 << 27
 CLASS_BYTES = 1 << 21
+#: Parts in which slices of a fixed size come to the driver: a job each, whatever the number of partitions.
+PARTS = 8
 #: Hashes met less often have no frequency class.
 FREQUENT = 8
 
@@ -122,7 +124,7 @@ def repeat_sketch(df: DataFrame, hashes_of) -> RepeatSketch:
     packed = df.mapInArrow(send, "bucket int, once binary, many binary, counts binary")
     slices = packed.groupBy("bucket").applyInArrow(summarise, "bucket int, marks binary, classes binary")
     filters, classes = np.zeros((buckets, width // 8), np.uint8), np.zeros((buckets, slots), np.uint8)
-    for row in slices.collect():  # as many bytes as the sketch has, and one job, not one a partition
+    for row in slices.repartition(PARTS).toLocalIterator():  # a few jobs, and an eighth of the sketch at once
         filters[row.bucket] = np.frombuffer(row.marks, np.uint8)
         classes[row.bucket] = np.frombuffer(row.classes, np.uint8)
     return RepeatSketch(bits, filters, classes)

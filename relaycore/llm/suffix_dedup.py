@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .exchange import RepeatSketch, by_bucket, repeat_sketch
+from .exchange import PARTS, RepeatSketch, by_bucket, repeat_sketch
 from .tables import bucket_count, cut, free_names
 
 U64 = np.uint64
@@ -358,7 +358,8 @@ def _marks(cuts: DataFrame, uid: str) -> np.ndarray:
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     parts = cuts.select(uid, F.shiftrightunsigned(uid, 64 - part_bits).alias("part")).distinct()
-    for row in parts.groupBy("part").applyInArrow(slice_of, "part long, marks binary").collect():  # no more bytes than the filter
+    slices = parts.groupBy("part").applyInArrow(slice_of, "part long, marks binary")
+    for row in slices.repartition(PARTS).toLocalIterator():
         out[row.part * width // 8 : (row.part + 1) * width // 8] = np.frombuffer(row.marks, np.uint8)
     return out
 
