@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from relaycore.llm import decontamination, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, suffix_tree_lm, tables, textbytes, toxicity, url_filter
+from relaycore.llm import decontamination, exchange, html_text, license_scan, line_quality, ngram_join, packing, suffix_dedup, suffix_tree_lm, tables, textbytes, toxicity, url_filter
 
 rng = random.Random(5)
 VOCAB = [f"w{k}" for k in range(60)]
@@ -90,6 +90,21 @@ def test_ngram_join(docs, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_ngram_join_with_an_overfull_sketch(spark, monkeypatch):
+    # A sketch far too small for its corpus, as the largest is for a large one, and copies in many partitions.
+    monkeypatch.setattr(exchange, "FILTER_BITS", 1 << 8)
+    carried, links = [], ngram_join.links
+    monkeypatch.setattr(ngram_join, "links", lambda candidates, *a: carried.extend(r.node for r in candidates.collect()) or links(candidates, *a))
+    own = random.Random(8)
+    passages = [" ".join(f"p{own.randrange(9999)}" for _ in range(30)) for _ in range(20)]
+    texts = [passages[k % 20] + " " + " ".join(f"v{own.randrange(9999)}" for _ in range(60)) for k in range(100)]
+    texts += [texts[0] + " end", *[texts[1] + " of copies"] * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(rows).collect()}
+    assert got == {**{k: k for k in range(100)}, 100: 0, **{k: 1 for k in range(101, 131)}}
+    assert {0, 1, 100, 101} <= set(carried) and len(carried) < 20
+
+
 def test_suffix_dedup(docs, empty):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.report(docs).collect()}
     seen = set()
