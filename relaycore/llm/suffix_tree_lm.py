@@ -54,6 +54,8 @@ STOP = U64(0x5851F42D4C957F2D)
 #: A pair is tested for divergence when it occurs this often.
 LEAST = 3
 _FLUSH = 1 << 20
+#: Bytes of a batch of counts: a buffer is sent in such parts, so neither side of the pipe holds copies of all of it.
+_SENT_BYTES = 1 << 22
 _CHUNK_BYTES, _CHUNK_ROWS = 1 << 21, 1 << 15
 #: Bits of the filter, and slots of the table of frequent runs, at most, as powers of two; small corpora take less.
 _FILTER_BITS = 26
@@ -114,6 +116,19 @@ def _batch(names, kinds, rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def _batches(names, kinds, rows):
+    """Batches of about `_SENT_BYTES` of rows, which are made one after the other."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= _SENT_BYTES:
+            yield _batch(names, kinds, held)
+            held, size = [], 0
+    if held:
+        yield _batch(names, kinds, held)
+
+
 def _counted(docs, columns_of, width, bits, least, joined=False):
     """Rows of `width` hashes that columns_of() yields, by the first: how often, if at least `least` times.
 
@@ -128,17 +143,17 @@ def _counted(docs, columns_of, width, bits, least, joined=False):
             held.append(columns(bodies))
             size += held[-1].shape[1]
             if size > _FLUSH:
-                yield pack(held)
+                yield from pack(held)
                 held, size = [], 0
         if size:
-            yield pack(held)
+            yield from pack(held)
 
     def pack(held):
         rows = np.concatenate(held, axis=1)
         held.clear()
         keys, first, counts = np.unique(rows[0], return_index=True, return_counts=True)
-        rows, counts = rows[:, first], counts.astype(np.uint32)
-        return _batch(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], [(b, rows[sent, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
+        rows, counts = rows[sent, first], counts.astype(np.uint32)
+        yield from _batches(["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()], ((b, rows[:, i:j].tobytes(), counts[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)))
 
     def total(table):
         rows = np.concatenate([np.frombuffer(k, U64).reshape(width - joined, -1) for k in table.column("keys").to_pylist()], axis=1)
@@ -259,10 +274,10 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
             held.append(_pairs(bodies, level, seen)[0])
             size += len(held[-1])
             if size > _FLUSH:
-                yield pack(held)
+                yield from pack(held)
                 held, size = [], 0
         if size:
-            yield pack(held)
+            yield from pack(held)
 
     def pack(held):
         keys = np.concatenate(held)
@@ -270,7 +285,7 @@ def frequent_pairs(docs: DataFrame, level: int, seen, n: int):
         keys, counts = np.unique(keys, return_counts=True)
         keys = np.repeat(keys, np.minimum(counts, LEAST))
         rest = (keys >> U64(32 - bits)).astype(np.uint32)
-        return _batch(["bucket", "rests"], [pa.int32(), pa.binary()], [(b, rest[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)])
+        yield from _batches(["bucket", "rests"], [pa.int32(), pa.binary()], ((b, rest[i:j].tobytes()) for b, i, j in by_bucket(keys, bits)))
 
     def total(table):
         rests, counts = np.unique(np.frombuffer(b"".join(table.column("rests").to_pylist()), np.uint32), return_counts=True)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -105,6 +106,24 @@ def test_ngram_join_with_an_overfull_sketch(spark, monkeypatch):
     assert {0, 1, 100, 101} <= set(carried) and len(carried) < 20
 
 
+def test_suffix_tree_lm_sends_buffers_in_parts():
+    class Captured:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        groupBy = applyInArrow = lambda self, *_: self
+
+    found = suffix_tree_lm._counted(Captured(), lambda: lambda bodies: suffix_tree_lm.tokens(bodies)[0][None], 1, 4, 1)
+    text = " ".join(map(str, range(600_000)))
+    sent = list(found.run([pa.RecordBatch.from_pydict({"body": [text]})]))
+    assert sum(len(k) for b in sent for k in b.column("keys").to_pylist()) == 8 * 600_001
+    assert max(b.nbytes for b in sent) < 5 << 20
+
+
 def test_suffix_dedup(docs, empty):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.report(docs).collect()}
     seen = set()
